@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_groups(rows)
     # Of the rows that carry a component's smallest id (more than one only if ids repeat), the smallest fingerprint.
     named = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy("component_id").agg(F.min("fp").alias("__fp")).select("__fp", F.col("component_id").alias("__id"))
+    kept = named.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).select("__fp", F.col("component_id").alias("__id"))
     keyed = docs.withColumn("__fp", _fingerprint(docs)).withColumn("__id", F.col("doc_id"))
     return keep_rows(_no_null(keyed), _no_null(kept), ["__fp", "__id"])
 

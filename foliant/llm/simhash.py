@@ -156,13 +156,13 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows: int
 
 
 def near_groups(rows: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows: int = 512) -> DataFrame:
-    """(fp, component_id) for the fingerprints of ``rows`` (doc_id, fp) that are linked to another one."""
+    """(fp, root, component_id) for the fingerprints of ``rows`` (doc_id, fp): the component's smallest fingerprint and id."""
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = connected_components(near_links(classes, radius, blocks, chunk_rows))
     member = nodes.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "component_id")
-    alone = classes.join(nodes.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    linked = member.join(least, "root").select("fp", "root", "component_id")
+    alone = classes.join(nodes.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     return linked.union(alone)
 
 
