@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, decontamination, exact_dedup, licenses, pii, simhash, token_counts, toxicity
+from . import bpe, chunk_dedup, decontamination, exact_dedup, licenses, pii, simhash, suffix_dedup, token_counts, toxicity
 from .common import read
 
 #: The vocabulary of the token operators; a parameter of theirs.
@@ -41,6 +41,10 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.chunk_dedup_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_chunk_dedup": op7_chunk_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
