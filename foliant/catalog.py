@@ -1,6 +1,516 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries over the driver's tables, and their DuckDB equivalents.
+
+Every query runs over whole tables. Where the tables lack what an operator is about (control characters, tables of
+contents, archives), the query derives it from their rows by an SQL expression that the oracle shares.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators import books, figures, pages, toc
+from .sources import epub
+from .sources.guards import Limits
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- texts. The noise puts in tabs, no-break spaces, broken lines, private-use and control characters.
+
+NBSP = " "
+NOISE = (
+    "replace(replace(replace(replace(replace(replace(text, ' the ', concat(chr(9), 'the', chr(9), chr(9))), ' de ', '" + NBSP + "de '), "
+    "'. ', concat('.', chr(10), '   ', chr(10), chr(10), chr(10))), 'th', concat('t-', chr(10), 'h')), 'a ', concat('a ', chr(10), ' ')), "
+    "'un', concat('', chr(7), 'n'))"
+)
+_SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_TRIM = _SPACE + r"\x{0085}"
+_INLINE = _TRIM.replace(r"\n", "")
+_LOW = "a-zà-öø-ÿ"  # the small letters of the tables' languages
+_SMALL = "a-ząćęłńóśźż"
+_LETTER = _SMALL + "A-ZĄĆĘŁŃÓŚŹŻ"
+
+
+def _sub(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+
+def _trim_ascii(x: str) -> str:
+    return _sub(x, r"\A[ \t\n\r]+|[ \t\n\r]+\z")
+
+
+def _trim(x: str) -> str:
+    return _sub(x, rf"\A[{_TRIM}]+|[{_TRIM}]+\z")
+
+
+def _no_break(x: str) -> str:
+    plain = f"replace({x}, '{NBSP}', ' ')"
+    return f"CASE WHEN regexp_matches({plain}, '[^{_TRIM}]') THEN {plain} ELSE '' END"
+
+
+
+
+
+_GLYPHLESS = "translate(replace(t, '', 'C'), '', 'U')"
+
+
+def _staged(*steps: str) -> str:
+    """A query that applies expressions over column t of documents one after the other."""
+    sql = f"SELECT doc_id, {NOISE} AS t FROM documents"
+    for step in steps:
+        sql = f"SELECT doc_id, {step} AS t FROM ({sql}) s"
+    return f"SELECT doc_id, t AS cleaned FROM ({sql}) s"
+
+
+_DOUBLE = "concat(chr(10), chr(10))"
+_NORMAL_STEPS = (
+    _sub("t", r"[ \t]+", " "), _sub("t", r"(\A|\n)[ \t\r]+", r"\1"), _sub("t", r"[ \t\r]+(\n|\z)", r"\1"),
+    rf"regexp_replace(t, '\n{{3,}}', {_DOUBLE}, 'g')", _trim_ascii("t"), _no_break("t"),
+)
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(NOISE).alias("t"))
+
+
+@query(
+    "clean_text",
+    _staged(
+        _GLYPHLESS, _sub("t", r"[\x{E000}-\x{F8FF}\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), _sub("t", rf"([{_LETTER}])-\n([{_SMALL}])", r"\1\2"),
+        _sub("t", rf"[{_SPACE}]([{_LETTER}])\n([{_SMALL}]+)", r" \1\2"), _sub("t", rf"([{_LOW}])[{_INLINE}]*\n[{_INLINE}]*([{_LOW}][^\n]*)", r"\1 \2" + "\x01"),
+        _sub("t", rf"[{_INLINE}]+(\n|\z)", r"\1"), "replace(t, '\x01', '')", _sub("t", r"\b([A-Za-z])\n([a-z])", r"\1\2"), *_NORMAL_STEPS,
+    ),
+)
+def clean_text(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_text(F.col("t")).alias("cleaned"))
+
+
+@query("normalize_whitespace", _staged(*_NORMAL_STEPS))
+def normalize_whitespace(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", text.normalize_whitespace(F.col("t")).alias("cleaned"))
+
+
+@query(
+    "clean_whitespace",
+    "SELECT doc_id, array_to_string(list_filter(list_transform(flatten(list_transform(string_split(t, chr(10)), lambda l: string_split("
+    + _trim("l") + ", '  '))), lambda c: " + _trim("c") + "), lambda c: c <> ''), chr(10)) AS cleaned FROM (SELECT doc_id, " + NOISE + " AS t FROM documents) s",
+)
+def clean_whitespace(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_whitespace(F.col("t")).alias("cleaned"))
+
+
+@query(
+    "clean_extracted_text",
+    _staged(
+        r"regexp_replace(t, '[ \t]*\n[ \t]*', chr(10), 'g')", rf"regexp_replace(t, '\n{{3,}}', {_DOUBLE}, 'g')", _sub("t", r"[ \t]{2,}", " "),
+        _sub("t", r"(\A|\n)[ \t\r]+", r"\1"), _sub("t", r"[ \t\r]+(\n|\z)", r"\1"), rf"regexp_replace(t, '\n{{3,}}', {_DOUBLE}, 'g')", _trim_ascii("t"), _no_break("t"),
+    ),
+)
+def clean_extracted_text(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", text.clean_extracted_text(F.col("t")).alias("cleaned"))
+
+
+@query(
+    "text_hashes",
+    "SELECT lang, count(*) AS n, count(DISTINCT sha256(text)) AS n_distinct, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(sha256(text)) AS last_hash FROM documents GROUP BY lang",
+)
+def text_hashes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sha").alias("n_distinct"), F.sum("n").alias("n_chars"), F.max("sha").alias("last_hash"))
+
+
+@query(
+    "first_by_hash",
+    "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)",
+)
+def first_by_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("match_form", _staged(_sub("t", rf"[{_SPACE}]+", " "), _trim("t")))
+def match_form(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("doc_id", text.match_form(F.col("t")).alias("cleaned"))
+
+
+@query("locate_items", "SELECT d.doc_id, b.item_id, strpos(d.text, left(b.text, 60)) - 1 AS start FROM documents d, benchmark b WHERE strpos(d.text, left(b.text, 60)) > 0")
+def locate_items(spark, sf_dir):
+    """First place of each benchmark item's first 60 characters in each document: the exact form of the text locator."""
+    from .plans.locate import locate
+
+    return locate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", 60)
+
+
+# --- titles and numbers
+
+_TITLES = (
+    "concat(CASE o_orderkey % 9 WHEN 0 THEN 'Part IV: ' WHEN 1 THEN 'chapter 12 - ' WHEN 2 THEN 'xi. ' WHEN 3 THEN '3. ' WHEN 4 THEN '14 '"
+    " WHEN 5 THEN '1.2.3  ' WHEN 6 THEN 'Section 1.2 ' WHEN 7 THEN ' Guideline 7' ELSE '' END, o_orderpriority, ' ', CAST(o_custkey AS {0}), CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE '' END)"
+)
+_SQL_TITLES = f"(SELECT o_orderkey, {_TITLES.format('VARCHAR')} AS title FROM orders) o"
+_KEYS = "(?:Part|Część|Rozdział|Guideline|Chapter|Section)"
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TITLES.format("STRING")).alias("title"))
+
+
+def _first(cases: list[tuple[str, str]], otherwise: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches(title, '{p}') AND regexp_extract(title, '{p}', 1) <> '' THEN {v.format(p=p)}" for p, v in cases)
+    return f"CASE {whens} ELSE {otherwise} END"
+
+
+_PART_CASES = [
+    (rf"(?i)\A{_KEYS}\s+([IVXLCDM]+|[0-9]+)(?:[:\-–—]|\.\s|\s|\z)", "upper(regexp_extract(title, '{p}', 1))"),
+    (r"(?i)\A([IVXLCDM]+)\.\s", "upper(regexp_extract(title, '{p}', 1))"),
+    (r"\A([0-9]+)\.\s+", "regexp_extract(title, '{p}', 1)"),
+    (r"\A([0-9]+)\s+", "regexp_extract(title, '{p}', 1)"),
+]
+_STRIP_CASES = [
+    (rf"(?i)\A{_KEYS}\s+[IVXLCDM0-9]+[:\-–—.]?\s*(.*)\z", "trim(regexp_extract(title, '{p}', 1))"),
+    (r"(?i)\A[IVXLCDM]+\.\s+(.*)\z", "trim(regexp_extract(title, '{p}', 1))"),
+    (r"\A[0-9]+\.\s+(.*)\z", "trim(regexp_extract(title, '{p}', 1))"),
+    (r"\A[0-9]+\s+(.*)\z", "trim(regexp_extract(title, '{p}', 1))"),
+]
+
+
+@query(
+    "title_parts",
+    f"SELECT o_orderkey, {_first(_PART_CASES, 'NULL')} AS part_number, {_first(_STRIP_CASES, 'trim(title)')} AS stripped, "
+    r"CASE WHEN regexp_matches(title, '\A\s*[0-9]+(?:\.[0-9]+)*\s+(.*)\z') THEN trim(regexp_extract(title, '\A\s*[0-9]+(?:\.[0-9]+)*\s+(.*)\z', 1)) ELSE trim(title) END AS unnumbered, "
+    r"TRY_CAST(nullif(regexp_extract(title, '\A\s*([0-9]+)(?:\.([0-9]+))?', 1), '') AS BIGINT) AS major, "
+    r"TRY_CAST(nullif(regexp_extract(title, '\A\s*([0-9]+)(?:\.([0-9]+))?', 2), '') AS BIGINT) AS minor, "
+    rf"lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS normalized FROM {_SQL_TITLES}",
+)
+def title_parts(spark, sf_dir):
+    t = F.col("title")
+    numbers = text.parse_major_minor(t)
+    return _titles(spark, sf_dir).select(
+        "o_orderkey", text.part_number(t).alias("part_number"), text.strip_part_prefix(t).alias("stripped"), text.strip_numeric_prefix(t).alias("unnumbered"),
+        numbers["major"].alias("major"), numbers["minor"].alias("minor"), text.normalize_title(t).alias("normalized"),
+    )
+
+
+def _roman_sql(n: str) -> str:
+    forms = [("I", "V", "X"), ("X", "L", "C"), ("C", "D", "M"), ("M", "", "")]
+    out = []
+    for i, (a, b, c) in enumerate(forms):
+        each = ["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c]
+        out.insert(0, f"[{', '.join(repr(e) for e in each)}][CAST(floor({n} / {10**i}) AS BIGINT) % 10 + 1]")
+    return f"concat({', '.join(out)})"
+
+
+@query(
+    "roman_numbers",
+    f"SELECT o_orderkey, {_roman_sql('(o_orderkey % 3999 + 1)')} AS roman, CAST(o_orderkey % 3999 + 1 AS INTEGER) AS number, "
+    "CASE WHEN o_custkey % 2 = 0 THEN chr(CAST(97 + o_custkey % 26 AS INTEGER)) ELSE concat(chr(CAST(97 + o_custkey % 26 AS INTEGER)), chr(CAST(97 + o_orderkey % 26 AS INTEGER))) END AS letters FROM orders",
+)
+def roman_numbers(spark, sf_dir):
+    roman = text.to_roman(F.col("o_orderkey") % 3999 + 1)
+    first, second = F.col("o_custkey") % 26 + 1, F.col("o_orderkey") % 26 + 1
+    number = F.when(F.col("o_custkey") % 2 == 0, first).otherwise(first * 26 + second)
+    return table(spark, sf_dir, "orders").select("o_orderkey", roman.alias("roman"), text.from_roman(roman).alias("number"), text.base26(number).alias("letters"))
+
+
+# --- references
+
+_URL_EXT = r"CASE WHEN regexp_matches(u, '[^./]\.png\z') THEN 'png' WHEN regexp_matches(u, '[^./]\.jpe?g\z') THEN 'jpg' WHEN regexp_matches(u, '[^./]\.gif\z') THEN 'gif' ELSE NULL END"
+
+
+@query(
+    "url_parts",
+    "SELECT page_id, split_part(url, '#', 1) AS file, CASE WHEN contains(url, '#') THEN split_part(url, '#', 2) END AS fragment, split_part(url, '#', 1) AS stripped, "
+    "split_part(list_extract(string_split(url, '/'), -1), '.', 1) AS base, "
+    rf"regexp_matches(lower(u), '\.(?:x?html|htm)\z') AS is_html, {_URL_EXT} AS ext FROM "
+    "(SELECT page_id, url, concat(split_part(url, '?', 1), CASE page_id % 4 WHEN 0 THEN '.xhtml' WHEN 1 THEN '.png' WHEN 2 THEN '.jpeg' ELSE '.xhtm' END) AS u FROM pages) p",
+)
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    named = F.expr("concat(substring_index(url, '?', 1), CASE page_id % 4 WHEN 0 THEN '.xhtml' WHEN 1 THEN '.png' WHEN 2 THEN '.jpeg' ELSE '.xhtm' END)")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", text.href_file(url).alias("file"), text.href_fragment(url).alias("fragment"), text.strip_fragment(url).alias("stripped"),
+        text.base_name(url).alias("base"), text.is_html_file(named).alias("is_html"), text.extension_of_path(named).alias("ext"),
+    )
+
+
+# --- ranges: line numbers and quantities stand for offsets
+
+
+@query(
+    "range_checks",
+    "SELECT l_orderkey, count(*) AS n, bool_and(ok) AS valid, CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits FROM (SELECT l_orderkey, s < e AND e <= 60 AND coalesce(pe <= s, TRUE) AS ok, "
+    "25 >= s AND 25 < e AS hit FROM (SELECT l_orderkey, s, e, lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS pe FROM "
+    "(SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity AS INTEGER) + l_linenumber AS e FROM lineitem) r) w) c GROUP BY l_orderkey",
+)
+def range_checks(spark, sf_dir):
+    span = F.struct(F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("end"))
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(span)).alias("r"), F.count(F.lit(1)).alias("n"))
+    hits = F.size(F.filter("r", lambda r: text.range_contains(r, F.lit(25)))).cast("long")
+    return spans.select("l_orderkey", "n", text.valid_preserved(F.col("r"), F.lit(60)).alias("valid"), hits.alias("hits"))
+
+
+# --- tables of contents: an order's lines are a book's entries
+
+_ENTRIES = (
+    "SELECT CAST(l_orderkey AS {0}) AS book_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN pos = 0 THEN 0 ELSE l_partkey % 4 END AS INTEGER) AS depth, "
+    "CASE WHEN l_suppkey % 3 = 0 THEN 'Intro' WHEN l_suppkey % 3 = 1 THEN 'Part 2: Intro' ELSE concat('Title ', CAST(l_suppkey AS {0})) END AS title, "
+    "CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE concat('c', CAST(l_suppkey % 3 AS {0}), '.xhtml', CASE WHEN l_partkey % 4 = 0 THEN '' ELSE concat('#f', CAST(l_partkey AS {0})) END) END AS href "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem) l"
+)
+_SQL_TOC = "WITH t AS (" + _ENTRIES.format("VARCHAR") + "), r AS (SELECT *, split_part(href, '#', 1) AS file, CASE WHEN contains(href, '#') THEN split_part(href, '#', 2) END AS fragment FROM t) "
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ENTRIES.format("STRING").replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    "toc_parents",
+    _SQL_TOC + "SELECT c.book_id, c.pos, max(p.pos) AS parent_pos, arg_max(p.title, p.pos) AS parent_title "
+    "FROM t c LEFT JOIN t p ON p.book_id = c.book_id AND p.pos < c.pos AND p.depth < c.depth GROUP BY c.book_id, c.pos",
+)
+def toc_parents(spark, sf_dir):
+    return toc.with_parents(_entries(spark, sf_dir)).select("book_id", "pos", "parent_pos", "parent_title")
+
+
+@query(
+    "toc_children",
+    _SQL_TOC + "SELECT book_id, pos, coalesce(lead(depth) OVER w > depth, FALSE) AS is_section, CASE WHEN lead(depth) OVER w > depth THEN lead(href) OVER w END AS first_child_href, "
+    "CASE WHEN lead(depth) OVER w > depth AND lower(regexp_replace(lead(title) OVER w, '^Part 2: ', '')) = lower(title) THEN lead(title) OVER w ELSE title END AS title "
+    "FROM t WINDOW w AS (PARTITION BY book_id ORDER BY pos)",
+)
+def toc_children(spark, sf_dir):
+    return toc.promoted_titles(_entries(spark, sf_dir)).select("book_id", "pos", "is_section", "first_child_href", "title")
+
+
+@query(
+    "toc_next_fragment",
+    _SQL_TOC + ", c AS (SELECT *, CASE WHEN lag(file) OVER (PARTITION BY book_id ORDER BY pos) <> file THEN 1 ELSE 0 END AS changed FROM r WHERE href IS NOT NULL), "
+    "g AS (SELECT *, sum(changed) OVER (PARTITION BY book_id ORDER BY pos) AS run FROM c), "
+    "f AS (SELECT book_id, pos, file, fragment, first_value(fragment IGNORE NULLS) OVER (PARTITION BY book_id, run ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_fragment FROM g) "
+    "SELECT r.book_id, r.pos, r.file, r.fragment, f.next_fragment FROM r LEFT JOIN f ON f.book_id = r.book_id AND f.pos = r.pos",
+)
+def toc_next_fragment(spark, sf_dir):
+    return toc.with_next_fragment(toc.with_references(_entries(spark, sf_dir))).select("book_id", "pos", "file", "fragment", "next_fragment")
+
+
+@query("toc_counts", _SQL_TOC + "SELECT book_id, count(*) AS entries, CAST(sum(CAST(depth = 0 AS BIGINT)) AS BIGINT) AS top_entries, max(depth) AS deepest FROM t GROUP BY book_id")
+def toc_counts(spark, sf_dir):
+    return toc.counts(_entries(spark, sf_dir))
+
+
+@query(
+    "toc_spine_order",
+    _SQL_TOC + "SELECT book_id, file, CAST(row_number() OVER (PARTITION BY book_id ORDER BY first_pos) - 1 AS INTEGER) AS spine_pos "
+    "FROM (SELECT book_id, file, min(pos) AS first_pos FROM r WHERE href IS NOT NULL GROUP BY book_id, file) m",
+)
+def toc_spine_order(spark, sf_dir):
+    return toc.spine_order(toc.with_references(_entries(spark, sf_dir)))
+
+
+@query(
+    "toc_wrappers",
+    _SQL_TOC + ", k AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY book_id ORDER BY pos) > depth, FALSE) AS is_section FROM r) "
+    "SELECT book_id, pos FROM k WHERE depth = 0 AND is_section AND fragment IS NULL AND lower(title) = 'intro'",
+)
+def toc_wrappers(spark, sf_dir):
+    rows = toc.with_children(toc.with_references(_entries(spark, sf_dir)))
+    return rows.where(toc.title_wrapper(F.lit("  INTRO "))).select("book_id", "pos")
+
+
+@query(
+    "chapter_index",
+    _SQL_TOC + ", d AS (SELECT book_id, pos, file, title AS text FROM r WHERE href IS NOT NULL AND title <> 'Intro'), "
+    "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, file ORDER BY pos) AS n FROM d) x WHERE n = 1) "
+    "SELECT book_id, pos, file, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) - 1 AS INTEGER) AS spine_index FROM f",
+)
+def chapter_index(spark, sf_dir):
+    rows = toc.with_references(_entries(spark, sf_dir)).withColumn("text", F.when(F.col("title") != "Intro", F.col("title")).otherwise(" "))
+    return toc.chapter_index(rows).select("book_id", "pos", "file", "spine_index")
+
+
+@query("last_by_file", _SQL_TOC + "SELECT book_id, file, arg_max(title, pos) AS html FROM r WHERE href IS NOT NULL GROUP BY book_id, file")
+def last_by_file(spark, sf_dir):
+    return toc.last_html(toc.with_references(_entries(spark, sf_dir)).withColumn("html", F.col("title")))
+
+
+@query(
+    "owner_as_of",
+    "SELECT v.event_id, a.event_id AS owner_id FROM events v ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) a "
+    "ON a.user_id = v.user_id AND a.ts <= v.ts",
+)
+def owner_as_of(spark, sf_dir):
+    """The last marker at or before each row of the same owner, as images find their sections: one window, no range join."""
+    from pyspark.sql import Window as W
+
+    marker = F.when(F.col("event_type") == "click", F.col("event_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", marker.alias("marker"))
+    same = rows.withColumn("marker", F.max("marker").over(W.partitionBy("user_id", "ts")))
+    before = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    return same.withColumn("owner_id", F.last("marker", ignorenulls=True).over(before)).select("event_id", "owner_id")
+
+
+# --- pages
+
+_ENTITY_STEPS = ("regexp_replace({0}, '&quot;?', chr(34), 'g')", "regexp_replace({0}, '&copy;?', '©', 'g')", "regexp_replace({0}, '&middot;?', '·', 'g')", "regexp_replace({0}, '&amp;?', '&', 'g')")
+
+
+def _entities(x: str) -> str:
+    for step in _ENTITY_STEPS:
+        x = step.format(x)
+    return x
+
+
+_PAGE_BODY = (
+    "(SELECT page_id, url, html, " + _entities(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\A.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), "
+    r"'(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*(>|\z)', '', 'g')") + " AS body FROM pages) p"
+)
+_PAGE_TITLE = _trim(_entities(r"regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
+_PAGE_TEXT = (
+    "array_to_string(list_filter(list_transform(flatten(list_transform(string_split(body, chr(10)), lambda l: string_split(" + _trim("l") + ", '  '))), lambda c: "
+    + _trim("c") + "), lambda c: c <> ''), chr(10))"
+)
+
+
+@query("page_text", f"SELECT page_id, title, text, length(text) AS n_chars FROM (SELECT page_id, {_PAGE_TITLE} AS title, {_PAGE_TEXT} AS text FROM {_PAGE_BODY}) q")
+def page_text(spark, sf_dir):
+    return pages.page_texts(table(spark, sf_dir, "pages"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_nodes(table(spark, sf_dir, "pages"))
+
+
+@query("page_nodes")
+def page_nodes(spark, sf_dir):
+    return _nodes(spark, sf_dir).withColumn("attrs", F.to_json("attrs"))
+
+
+@query("page_headings", f"SELECT page_id, 1 AS level, {_PAGE_TITLE} AS content FROM pages")
+def page_headings(spark, sf_dir):
+    return pages.headings(_nodes(spark, sf_dir)).select("page_id", "level", text.trimmed(F.col("content")).alias("content"))
+
+
+@query(
+    "page_links",
+    r"SELECT page_id, len(h) AS n_links, array_to_string(h, ' ') AS hrefs FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS h FROM pages) q WHERE len(h) > 0",
+)
+def page_links(spark, sf_dir):
+    found = pages.links(_nodes(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("h"))
+    return found.select("page_id", F.size("h").cast("long").alias("n_links"), F.array_join(F.transform("h", lambda x: x["href"]), " ").alias("hrefs"))
+
+
+@query("page_block_counts", r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(nav|ul|li|div|article|h1|p|footer)[ >]', 1)) AS tag FROM pages) q GROUP BY tag")
+def page_block_counts(spark, sf_dir):
+    return pages.block_counts(_nodes(spark, sf_dir))
+
+
+@query("page_fragments")
+def page_fragments(spark, sf_dir):
+    return pages.fragment_node(_nodes(spark, sf_dir), F.lit("top"))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.annotated_pages(table(spark, sf_dir, "pages"))
+
+
+@query("page_sections")
+def page_sections(spark, sf_dir):
+    return _annotated(spark, sf_dir)
+
+
+@query("page_blocks")
+def page_blocks(spark, sf_dir):
+    return pages.blocks(_annotated(spark, sf_dir), "page_id").drop("marks", "tableRows")
+
+
+@query("page_marks")
+def page_marks(spark, sf_dir):
+    return pages.marks(pages.blocks(_annotated(spark, sf_dir), "page_id"), "page_id")
+
+
+@query("page_ranges")
+def page_ranges(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumns({"fragment": F.lit(None).cast("string"), "following": F.lit(None).cast("string")})
+    found = pages.extracted_sections(rows, "page_id", "html", "fragment", "following")
+    return found.select("page_id", "text", F.to_json("preserved").alias("preserved"), F.to_json("elements").alias("elements"), "error")
+
+
+# --- books: ten pages make an archive
+
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: an archive for every ten pages, with a picture of its own in each chapter."""
+    from .plans.archives import packed
+
+    return packed(table(spark, sf_dir, "pages"))
+
+
+@query("archive_guards")
+def archive_guards(spark, sf_dir):
+    return epub.guard_report(_archives(spark, sf_dir), Limits())
+
+
+@query("book_tables")
+def book_metadata(spark, sf_dir):
+    return epub.book_tables(_archives(spark, sf_dir))["books"].select("book_id", "title", "author", F.array_join("authors", "; ").alias("authors"), "guard_error")
+
+
+@query("book_chapters")
+def book_chapters(spark, sf_dir):
+    return books.extract(epub.book_tables(_archives(spark, sf_dir))).chapters
+
+
+@query("book_sections")
+def book_sections(spark, sf_dir):
+    rows = books.extract(epub.book_tables(_archives(spark, sf_dir))).sections
+    return rows.withColumn("location", F.to_json("location"))
+
+
+@query("book_json")
+def book_json(spark, sf_dir):
+    tables = epub.book_tables(_archives(spark, sf_dir))
+    made = books.extract(tables)
+    return books.book_json(made.books, made.sections)
+
+
+@query("book_figures")
+def book_figures(spark, sf_dir):
+    tables = epub.book_tables(_archives(spark, sf_dir))
+    made = books.extract(tables)
+    refs = figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"])
+    return figures.figures(refs).drop("bytes")
+
+
+@query("book_image_sections")
+def book_image_sections(spark, sf_dir):
+    tables = epub.book_tables(_archives(spark, sf_dir))
+    made = books.extract(tables)
+    refs = figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"])
+    return figures.with_images(made.sections, figures.figures(refs)).select("book_id", "pos", "title", "structured_json")
+
+
+@query("rejected_images")
+def rejected_images(spark, sf_dir):
+    tables = epub.book_tables(_archives(spark, sf_dir))
+    made = books.extract(tables)
+    refs = figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"])
+    return refs.where("reject_reason is not null").select("book_id", "chapter_href", "dom_index", "source", "reject_reason")
