@@ -80,8 +80,8 @@ def with_bytes(refs: DataFrame, images: DataFrame) -> DataFrame:
     data = F.coalesce("data", "found")
     ext = F.coalesce(F.when(F.col("source") == "epub_data_uri", text.extension_of_mime(F.col("media"))).otherwise(text.extension_of_path(F.col("path"))), F.lit("png"))
     df = df.withColumns({"bytes": data, "ext": ext}).drop("data", "found", "tries", "media")
-    safe = F.udf(lambda raw: safe_svg(bytes(raw)), "boolean", useArrow=True)
-    unsafe = F.when((F.col("ext") == "svg") & F.col("bytes").isNotNull(), ~safe("bytes")).otherwise(F.lit(False))
+    safe = F.udf(lambda raw: None if raw is None else safe_svg(bytes(raw)), "boolean", useArrow=True)
+    unsafe = ~F.coalesce(safe(F.when(F.col("ext") == "svg", F.col("bytes"))), F.lit(True))  # only vector graphics go to Python
     reason = F.coalesce("reject_reason", F.when(F.col("bytes").isNull(), "not in the archive"), F.when(unsafe, "unsafe SVG"))
     return df.withColumn("reject_reason", reason)
 
