@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import books, figures, pages, toc
+from .operators import books, edits, figures, pages, toc
 from .sources import epub
 from .sources.guards import Limits
 
@@ -514,3 +514,18 @@ def rejected_images(spark, sf_dir):
     made = books.extract(tables)
     refs = figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"])
     return refs.where("reject_reason is not null").select("book_id", "chapter_href", "dom_index", "source", "reject_reason")
+
+
+# --- edit scripts
+
+
+@query("edit_scripts")
+def edit_scripts(spark, sf_dir):
+    """Cleaning of the noisy texts with its edits, and the ends and the middle of each text mapped through them."""
+    made = edits.cleaned_with_script(_noisy(spark, sf_dir), "doc_id", "t")
+    args = [F.col("edits"), F.col("length_in"), F.col("length_out")]
+    middle = F.floor(F.col("length_in") / 2).cast("int")
+    return made.select(
+        "doc_id", "length_in", "length_out", F.size("edits").alias("n_edits"), edits.map_start(*args, middle).alias("middle_start"),
+        edits.map_end(*args, middle).alias("middle_end"), edits.map_start(*args, F.lit(0)).alias("first"), edits.map_end(*args, F.col("length_in")).alias("last"),
+    )
