@@ -6,8 +6,8 @@ its rank is unique. Here the positions are first gathered: the windows of ``leng
 of ``half`` bytes at its anchor, which all of its windows hold; its span's rank is that of all bytes of its windows.
 Runs of unique rank are dropped, runs of equal span are repeated whole. Only windows of runs with equal rank and
 different spans are looked at one by one: Spark sorts their pairs of ranks (of ``half`` bytes at the start and at the
-offset that completes the window), and equal neighbours are repeated. Ranks are 64-bit hashes that any task computes
-from the text alone, so no round has to move ranks of all positions.
+offset that completes the window) with their run's rank, and equal neighbours are repeated. Ranks are 64-bit hashes that
+any task computes from the text alone, so no round has to move ranks of all positions; two of them always have to agree.
 """
 
 from __future__ import annotations
@@ -148,21 +148,21 @@ def _flagged(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (rank, ref) sorted by rank: refs of equal neighbours whose low bit, 'known', isn't set."""
-    rank, ref, tied = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back, and whether it equals the one before
+    """Of rows (rank, run, ref) sorted by rank and run: refs of equal neighbours whose low bit, 'known', isn't set."""
+    held = np.zeros((3, 0), np.int64)  # the row held back
+    tied = False  # whether it equals the one before
     for batch in batches:
         if not batch.num_rows:
             continue
-        rank = np.concatenate([rank, batch.column(0).to_numpy()])
-        ref = np.concatenate([ref, batch.column(1).to_numpy()])
-        same = rank[1:] == rank[:-1]
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
         hit = np.append(tied, same)[:-1] | same  # of all rows but the last
-        found = ref[:-1][hit & (ref[:-1] & 1 == 0)]
+        found = rows[2, :-1][hit & (rows[2, :-1] & 1 == 0)]
         tied = bool(same[-1]) if len(same) else tied
-        rank, ref = rank[-1:], ref[-1:]
+        held = rows[:, -1:]
         yield pa.RecordBatch.from_arrays([pa.array(found >> 1, pa.int64())], ["ref"])
-    if len(ref) and tied and not ref[0] & 1:
-        yield pa.RecordBatch.from_arrays([pa.array(ref >> 1, pa.int64())], ["ref"])
+    if tied and not held[2, 0] & 1:
+        yield pa.RecordBatch.from_arrays([pa.array(held[2] >> 1, pa.int64())], ["ref"])
 
 
 def repeated_windows(keyed: DataFrame, how: Repeats = Repeats()) -> DataFrame:
@@ -174,8 +174,8 @@ def repeated_windows(keyed: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     told = materialise(told.select("rank", "span", "one", "copies", "spans", F.monotonically_increasing_id().alias("id")))
     whole = records.join(told.where("copies > 1").select("rank", "span"), ["rank", "span"], "left_semi").select("key", "at")
 
-    asked = told.where("spans > 1").select("id", F.col("one.key").alias("key"), F.col("one.at").alias("at"), (F.col("copies") > 1).cast("int").alias("known"))
-    of_key = asked.groupBy("key").agg(F.collect_list(F.struct("id", "at", "known")).alias("asked"))
+    asked = told.where("spans > 1").select("id", F.col("rank").alias("run"), F.col("one.key").alias("key"), F.col("one.at").alias("at"), (F.col("copies") > 1).cast("int").alias("known"))
+    of_key = asked.groupBy("key").agg(F.collect_list(F.struct("id", "run", "at", "known")).alias("asked"))
     texts = _flagged(keyed, asked.select("key")).where("flag").dropDuplicates(["key"]).select("key", "text")
 
     def run(rows: list[tuple]) -> Iterator[tuple]:
@@ -184,10 +184,10 @@ def repeated_windows(keyed: DataFrame, how: Repeats = Repeats()) -> DataFrame:
             for s in spans:
                 start, n = divmod(s["at"], 1024)
                 refs = ((s["id"] * 1024 + np.arange(n)) * 2 + s["known"]).tolist()
-                yield from zip(_signed(how.windows(raw, start, n)), refs)
+                yield from zip(_signed(how.windows(raw, start, n)), [s["run"]] * n, refs)
 
-    pairs = map_texts(texts.join(of_key, "key").select("text", "asked"), run, "rank long, ref long")
-    hits = pairs.repartition("rank").sortWithinPartitions("rank").mapInArrow(_equal_neighbours, "ref long")
+    pairs = map_texts(texts.join(of_key, "key").select("text", "asked"), run, "rank long, run long, ref long")
+    hits = pairs.repartition("rank").sortWithinPartitions("rank", "run").mapInArrow(_equal_neighbours, "ref long")
     hits = hits.select(F.shiftright("ref", 10).alias("id"), (F.col("ref") % 1024).alias("offset"))
     single = hits.join(asked.select("id", "key", "at"), "id").select("key", ((F.shiftright("at", 10) + F.col("offset")) * 1024 + 1).alias("at"))
     return whole.union(single)
