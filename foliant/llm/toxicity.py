@@ -23,8 +23,8 @@ _FACTORS = np.array([(0x9E3779B1 * (2 * k + 1)) & 0xFFFFFFFF for k in range(1, 1
 class FitLimits:
     """Bounds of the fitting sample: rows a class, and bytes of a row (longer rows are not fitted on; all are scored)."""
 
-    positives: int = 2500
-    negatives: int = 7500
+    positives: int = 2000
+    negatives: int = 6000
     row_bytes: int = 16_384
 
 
@@ -71,7 +71,7 @@ def present(text: str, sizes: tuple[int, ...], bits: int) -> np.ndarray:
 
 
 def fit_texts(
-    texts: list[str], toxic: list[int], sizes: tuple[int, ...] = (4, 6, 8), bits: int = 20, keep: int = 8_000, l2: float = 1.0, rounds: int = 120
+    texts: list[str], toxic: list[int], sizes: tuple[int, ...] = (4, 6, 8), bits: int = 20, keep: int = 8_000, l2: float = 1.0, rounds: int = 250
 ) -> Toxicity:
     """Fit on texts in memory: log-count ratios, the ``keep`` n-grams of largest ratio, then a logistic regression."""
     y = np.array(toxic, dtype=np.float64)
@@ -79,35 +79,33 @@ def fit_texts(
     if not len(y) or y.min() == y.max():
         prior = (y.sum() + 0.5) / (len(y) + 2)  # without any label: not toxic
         return Toxicity(np.full(width, -1, dtype=np.int32), np.zeros(0, dtype=np.float32), float(np.log(prior / (1 - prior))), sizes, bits)
-    counts = np.zeros((2, width))
-    rows = []
+    counts = np.zeros((2, width), dtype=np.float32)
     for text, label in zip(texts, toxic):
-        found = present(text, sizes, bits)
-        counts[label, found] += 1
-        rows.append(found.astype(np.int32))
+        counts[label, present(text, sizes, bits)] += 1
     share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * width)
     ratio = np.log(share[1] / share[0])
-    # The ratio less one standard error ranks n-grams, so that those seen once or twice come last.
+    # The ratio less two standard errors ranks n-grams, so that those seen once or twice come last.
     error = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
     order = np.argsort(-(np.abs(ratio) - 2 * error), kind="stable")[:keep]
     place = np.full(width, -1, dtype=np.int32)
     place[order] = np.arange(len(order))
-    scale = ratio[order]
-    cols, lengths = [], []
-    for found in rows:
-        own = place[found]
-        own = own[own >= 0]
-        cols.append(own)
-        lengths.append(len(own))
-    col = np.concatenate(cols) if cols else np.zeros(0, dtype=np.int32)
-    row = np.repeat(np.arange(len(rows)), lengths)
+    scale = ratio[order].astype(np.float32)
+    # Features are hashed again rather than held: the kept ones are few, all of them would fill the driver.
+    cols = []
+    for text in texts:
+        own = place[present(text, sizes, bits)]
+        cols.append(own[own >= 0])
+    lengths = list(map(len, cols))
+    col = np.concatenate(cols)
+    del cols, share, error, counts
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     value = scale[col]
     w, b = np.zeros(len(order)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, steps = np.zeros(len(order) + 1), np.zeros(len(order) + 1), rounds
     for t in range(1, steps + 1):  # Adam on the whole sample
-        z = b + np.bincount(row, weights=value * w[col], minlength=len(rows))
+        z = b + np.bincount(row, weights=value * w[col], minlength=len(texts))
         g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.append(np.bincount(col, weights=value * g[row], minlength=len(order)) + l2 * w, g.sum()) / len(rows)
+        grad = np.append(np.bincount(col, weights=value * g[row], minlength=len(order)) + l2 * w, g.sum()) / len(texts)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
