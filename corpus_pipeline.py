@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontamination, exact_dedup, simhash, toxicity
-from foliant.llm.common import keep_rows, materialise, read
+from foliant.llm.common import keep_rows, materialise, read, small_batches
 from foliant.llm.queries import VOCABULARY
 
 
@@ -34,6 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # Of the rows that carry a component's smallest id (more than one only if ids repeat), the smallest fingerprint.
     named = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).select("__fp", F.col("component_id").alias("__id"))
+    small_batches(spark)
     keyed = docs.withColumn("__fp", _fingerprint(docs)).withColumn("__id", F.col("doc_id"))
     return keep_rows(_no_null(keyed), _no_null(kept), ["__fp", "__id"])
 

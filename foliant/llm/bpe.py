@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, whole_text
 
 #: Pre-tokens remembered by a worker (about 150 bytes each); more than that and the memo starts anew.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 
 class MinimalPerfectHash:

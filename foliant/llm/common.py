@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time; bounds a worker's memory, not the work.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch, at most: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +31,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger or unbounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def whole_text(text_col: str) -> Column:
     """The text column, null counting as the empty text."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -41,6 +50,7 @@ def map_texts(
 
     ``start`` runs once a task and its value is passed on as second argument.
     """
+    small_batches(df.sparkSession)
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_text
+from .common import map_texts, small_batches, whole_text
 
 #: A-Z to a-z; every byte outside [0-9a-z\x80-\xFF] to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -129,6 +129,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(Windows([(i if i is not None else "null", t) for i, t in part], how.get("width", 10))) for part in parts]
 
+    small_batches(docs.sparkSession)
+
     def masks(text: str) -> np.ndarray:
         out = shared[0].value.scan(text)[1]
         for more in shared[1:]:

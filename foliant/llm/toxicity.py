@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_text
+from .common import map_texts, small_batches, whole_text
 
 #: The factors of the n-gram hash (odd, from the golden ratio), one for each place.
 _FACTORS = np.array([(0x9E3779B1 * (2 * k + 1)) & 0xFFFFFFFF for k in range(1, 17)], dtype=np.uint32) | np.uint32(1)
@@ -156,6 +156,7 @@ def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", te
 
 def without_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     clean = F.udf(lambda text: shared.value.score(text or "") < 0.5, "boolean", useArrow=True)
     return docs.where(clean(F.col(text_col).cast("string")))
