@@ -1,10 +1,10 @@
 """Personal data: pattern spans, and terms whose corpus co-occurrence reveals the protected values.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct value is a protected entity. A
-term near an entity reveals it by their pointwise mutual information over documents, as a share of the entity's own
+term reveals an entity by their pointwise mutual information over whole documents, as a share of the entity's own
 information: log(n_ct * N / (n_c * n_t)) / log(N / n_c), 1 where the term never occurs without the entity. In
 documents that hold the entity, terms above a threshold are generalised to their shape and terms above a higher one
-removed. All of it is DataFrame expressions, joins and aggregates.
+removed, wherever they stand. All of it is DataFrame expressions, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -26,16 +26,13 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _TERM = r"[\p{L}\p{N}]{3,}"
-#: Code points either side of a span in which its nearest terms are looked for.
-_REACH = 160
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """terms: nearest ones taken either side of a span; support: documents in which entity and term must meet;
-    generalise, remove: shares of the entity's information; broadcast_terms: above it, term counts are joined by key."""
+    """support: documents in which entity and term must meet; generalise, remove: shares of the entity's information;
+    broadcast_terms: above it, term counts are joined by key."""
 
-    terms: int = 5
     support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
@@ -112,37 +109,46 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame, terms: int) -> DataFrame:
-    """(row, entity, term), each once a row: the nearest terms either side of every base span."""
+def _holders(found: DataFrame) -> DataFrame:
+    """(row, entity), each once a row: the entities of the row's base spans."""
 
     def entity(m: Column) -> Column:
         return F.concat_ws(":", m["kind"], F.when(m["kind"].isin("card", "phone"), _digits(m["value"])).otherwise(F.lower(m["value"])))
 
-    def near(m: Column) -> Column:
-        left = F.substring("text", F.greatest(m["start"] - _REACH + 1, F.lit(1)), F.least(m["start"], F.lit(_REACH)))
-        right = F.substring("text", m["end"] + 1, F.lit(_REACH))
-        before = F.reverse(F.regexp_extract_all(F.lower(left), F.lit(_TERM), F.lit(0)))
-        after = F.regexp_extract_all(F.lower(right), F.lit(_TERM), F.lit(0))
-        return F.concat(F.slice(before, 1, terms), F.slice(after, 1, terms))
+    return found.select("row", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
 
-    pairs = F.flatten(F.transform("base", lambda m: F.transform(near(m), lambda t: F.struct(entity(m).alias("entity"), t.alias("term")))))
-    return found.select("row", F.explode(F.array_distinct(pairs)).alias("pair")).select("row", "pair.entity", "pair.term")
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, text_col: str, how: Disclosure) -> DataFrame:
-    """(entity, term, share) for terms whose share of an entity's information reaches ``how.generalise``."""
-    meet = materialise(contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= how.support))
-    terms = meet.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(_TERM), F.lit(0)))).alias("term"))
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, how: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share) for terms whose share of an entity's information reaches ``how.generalise``, and the
+    (row, entity, term) that they may be in: the terms of whole documents.
+
+    A term is in no fewer documents than it shares with the entity, so a share of g needs n_t <= N * (n_c / N) ^ g;
+    terms of more documents are left out before they are paired.
+    """
+    total = float(docs.count())
+    holders = _holders(found)
+    n_c = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") >= how.support) & (F.col("n_c") < total))
+    most = F.lit(total) * F.pow(F.col("n_c") / F.lit(max(total, 1.0)), F.lit(how.generalise)) * (1 + 1e-9)
+    holders = materialise(holders.join(n_c.withColumn("most", most), "entity"))
+    limit = holders.agg(F.max("most")).first()[0] or 0.0
+    standing = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    terms = materialise(standing.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(how.support, limit)).select("term"))
+    words = docs.select(F.explode(_terms(whole_text(text_col))).alias("term"))
     if terms.count() <= how.broadcast_terms:
         words = words.join(F.broadcast(terms), "term", "left_semi")
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    entities = contexts.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    total = docs.count()
-    information = F.log2(F.lit(float(total)) / F.col("n_c"))
-    share = F.when(information > 0, F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / information)
-    joined = meet.join(n_t, "term").join(entities, "entity")
-    return joined.select("entity", "term", share.alias("share")).where(F.col("share") >= how.generalise)
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(how.support, limit))
+    standing = materialise(standing.join(n_t, "term"))
+    pairs = holders.join(standing, "row").where(F.col("n_t") <= F.col("most"))
+    meet = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")).where(F.col("n_ct") >= how.support)
+    information = F.log2(F.lit(total) / F.col("n_c"))
+    share = F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t"))) / information
+    reveal = materialise(meet.select("entity", "term", share.alias("share")).where(F.col("share") >= how.generalise))
+    return reveal, pairs.select("row", "entity", "term")
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Disclosure = Disclosure()) -> DataFrame:
@@ -160,9 +166,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     clean = scanned.where(F.size(every) == 0).select("doc_id", "text", none.alias("base"), none.alias("terms"), F.col("text").alias("sanitised"))
     held = scanned.where(F.size(every) > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.array_sort(every).alias("base"))
     held = materialise(held)
-    contexts = _contexts(held, how.terms)
-    reveal = materialise(disclosing_terms(docs, held, contexts, text_col, how))
-    of_row = contexts.join(reveal, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    reveal, pairs = disclosing_terms(docs, held, text_col, how)
+    of_row = pairs.join(reveal, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     of_row = of_row.groupBy("row").agg(
         F.collect_list(F.when(F.col("share") < how.remove, F.col("term"))).alias("mild"), F.collect_list(F.when(F.col("share") >= how.remove, F.col("term"))).alias("strong")
     )

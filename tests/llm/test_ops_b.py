@@ -95,6 +95,17 @@ def test_pii_disclosing_terms(spark):
     assert not got[90].terms and not got[12].terms and got[90].sanitised == rows[-1][1]
 
 
+def test_pii_discloses_over_whole_documents(spark):
+    far = "filler text of no weight " * 40
+    rows = [(i, f"mail zeb@example.com now. {far} Zebediah {far} one two three four five six Quillon") for i in range(2)]
+    rows += [(2, f"Quillon {far} mail zeb@example.com now")]  # near it in no document
+    rows += [(10 + i, f"{far} mail now one two three four five six") for i in range(40)]
+    rows += [(90, "Quillon alone")]
+    got = {r.doc_id: r for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t.kind, t.value) for t in got[0].terms] == [("remove", "Zebediah"), ("generalise", "Quillon")]
+    assert [(t.kind, t.value) for t in got[2].terms] == [("generalise", "Quillon")] and not got[10].terms and not got[90].terms
+
+
 def test_token_tree_random_edits():
     codec, enc = Codec.from_file(VOCABULARY), own_tiktoken()
     rnd = random.Random(2)
