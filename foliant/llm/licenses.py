@@ -2,6 +2,8 @@
 
 Blocks of lines that look like license wording are compressed with each template as a zstandard raw dictionary; the
 template that saves most against compression without it is the candidate, and exact wording differences confirm it.
+License texts and headers are looked for first, in windows that hold a whole one, whatever their lines and comment marks;
+then notices of a line; SPDX tags name their licenses themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, whole_text
+from .license_texts import TEXTS
 
 #: Notices by which works are put under a license, with the license's SPDX identifier.
 TEMPLATES = {
@@ -37,16 +40,22 @@ TEMPLATES = {
 }
 
 #: What a line must hold to be scanned.
-_HINT = re.compile(r"licen[sc]|copyright|all rights reserved|public domain|creative commons|\bCC[ -]?(?:BY|0)|redistribution and use|permission is hereby", re.I)
+_HINT = re.compile(r"licen[sc]|copyright|all rights reserved|public domain|creative commons|\bCC[ -]?(?:BY|0)|redistribution and use|permission is hereby|permission to use, copy", re.I)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Words that tell licenses apart: a difference in one of them rejects a template.
 _TELLING = re.compile(r"[0-9.]+\Z|(?:MIT|Apache|GNU|General|Lesser|Affero|BSD|Mozilla|CC|CC0|Unlicense)\Z|BY(?:-|\Z)|.*-Clause\Z|v\Z|proprietary\Z", re.I)
+_NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*\Z")
+#: Comment marks and list numbers at the start of a line.
+_MARKS = re.compile(r"^[ \t]*(?:[/*#;%!>|.\"'-]+[ \t]*|(?:dnl|REM|--)[ \t]+)*(?:\(?[0-9A-Za-z]{1,2}[.)][ \t]+)?", re.M)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
+#: Characters that a window of text has before and after a hint: more than a whole text, and steps between hints.
+_BEFORE, _AFTER, _STEP = 600, 3600, 400
 
 
 class Scanner:
     """Compressors, one a template, made once a task."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, level: int = 3):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, level: int = 3, texts: dict[str, tuple[str, ...]] = TEXTS):
         self.templates = {name: (text, _words(text)) for name, text in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.given = {
@@ -59,6 +68,19 @@ class Scanner:
             )
             for name, text in templates.items()
         }
+        self.texts = []
+        for name, variants in texts.items():
+            for text in variants:
+                words = [w.lower() for w in _words(text)]
+                raw = " ".join(words).encode()
+                given = zstandard.ZstdCompressor(
+                    level=level,
+                    dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    write_content_size=False,
+                    write_checksum=False,
+                    write_dict_id=False,
+                )
+                self.texts.append((name, words, len(self.plain.compress(raw)), given))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Templates by the share of the block's compressed size that they save, the best first."""
@@ -84,8 +106,60 @@ class Scanner:
             return None
         return share, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
 
+    def aligned(self, words: list[str], theirs: list[str], least: float = 0.8) -> tuple[int, int, int, float, str] | None:
+        """(first word, last word, words in common, share, differing words) of the place where the wording stands."""
+        codes = SequenceMatcher(None, theirs, words, autojunk=False).get_opcodes()
+        firm = [i for i, (op, a, b, _, _) in enumerate(codes) if op == "equal" and b - a >= 3]
+        if not firm:
+            return None
+        codes = codes[firm[0] : firm[-1] + 1]
+        first, last = codes[0][3], codes[-1][4]
+        same = sum(b - a for op, a, b, _, _ in codes if op == "equal")
+        share = 2 * same / (len(theirs) + last - first)
+        missing = theirs[: codes[0][1]] + [w for op, a, b, _, _ in codes if op != "equal" for w in theirs[a:b]] + theirs[codes[-1][2] :]
+        added = [w for op, _, _, c, d in codes if op != "equal" for w in words[c:d]]
+        wrong = _kinds(theirs) != _kinds(words[first:last])
+        if share < least or wrong:
+            return None
+        return first, last, same, share, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+
+    def whole(self, text: str, gain: float = 0.4) -> list[tuple[str, int, int, float, str]]:
+        """(license, start, end, share, differences) for each license text or header, by windows about the hints."""
+        out: list[tuple[str, int, int, float, str]] = []
+        done, seen = 0, -_STEP
+        for hint in _HINT.finditer(text):
+            if hint.start() < max(done, seen + _STEP):
+                continue
+            seen = hint.start()
+            at = max(done, seen - _BEFORE)
+            shown = _MARKS.sub(lambda m: " " * len(m[0]), text[at : seen + _AFTER])
+            places = list(_WORD.finditer(shown))
+            words = [m[0].lower() for m in places]
+            raw = " ".join(words).encode()
+            alone = len(self.plain.compress(raw))
+            found = []
+            for name, theirs, own, given in self.texts:
+                if alone - len(given.compress(raw)) >= gain * min(alone, own) and (got := self.aligned(words, theirs)):
+                    first, last, same, share, differences = got
+                    found.append((-same * share, name, at + places[first].start(), at + places[last - 1].end(), share, differences))
+            for _, *one in sorted(found):
+                if all(one[2] <= o[1] or o[2] <= one[1] for o in out):
+                    out.append(tuple(one))
+                    done = max(done, one[2])
+        return out
+
     def scan(self, text: str, gain: float = 0.15) -> list[tuple[str, int, int, float, str]]:
         """(license, start, end, share, differences) for each block of the text that a template explains."""
+        if not _HINT.search(text):
+            return []
+        out = [found for m in _SPDX.finditer(text) for found in _tagged(m)]
+        out += (f for f in self.whole(text) if all(f[2] <= o[1] or o[2] <= f[1] for o in out))
+        known = sorted(out, key=lambda f: f[1])
+        out += (f for f in self.lines(text, gain) if not any(_covers(o, f) for o in known))
+        return sorted(out, key=lambda f: (f[1], f[2], f[0]))
+
+    def lines(self, text: str, gain: float) -> list[tuple[str, int, int, float, str]]:
+        """(license, start, end, share, differences) for each notice of a line or a few."""
         out = []
         for start, end in _blocks(text):
             block = text[start:end]
@@ -98,6 +172,27 @@ class Scanner:
         return out
 
 
+def _kinds(words: list[str]) -> set[str]:
+    """What tells the texts of a family apart: the word before 'General', and version numbers."""
+    pairs = list(zip(words, words[1:]))
+    return {a for a, b in pairs if b == "general"} | {b for a, b in pairs if a in ("version", "v") and _NUMBER.match(b)}
+
+
+def _tagged(m: re.Match) -> Iterator[tuple[str, int, int, float, str]]:
+    """The licenses of an SPDX tag, exceptions left out, each once; 'or later' and 'only' count as the version itself."""
+    names = re.findall(r"(?<![\w.+-])(?<!WITH )(?!(?:AND|OR|WITH)\b)[A-Za-z0-9][A-Za-z0-9.+-]*", m[1].split("  ")[0])
+    operators = re.findall(r"\b(?:AND|OR|WITH)\b", m[1])
+    names = names if operators else names[:1]
+    for name in dict.fromkeys(re.sub(r"(?:-only|-or-later|\+)$", "", n) for n in names):
+        yield name, m.start(), m.start() + len(m[0].rstrip()), 1.0, ""
+
+
+def _covers(text: tuple, notice: tuple, near: int = 200) -> bool:
+    """The notice stands in the text's place, or is its title or copyright line."""
+    inside = notice[1] < text[2] and text[1] < notice[2]
+    return inside or (notice[0] in (text[0], "Proprietary") and 0 <= text[1] - notice[2] <= near)
+
+
 def _words(text: str) -> list[str]:
     return _WORD.findall(text)
 

@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 
-from foliant.llm import chunk_dedup, licenses, pii, token_counts
+from foliant.llm import chunk_dedup, license_texts, licenses, pii, token_counts
 from foliant.llm.bpe import Codec
 from foliant.llm.queries import VOCABULARY
 
@@ -144,6 +145,40 @@ def test_edited_counts(spark, sf_dir, edge, empty):
     assert token_counts.edited_counts(empty, token_counts.sample_edits(), VOCABULARY).count() == 0
 
 
+def wrapped(text, mark, width=60):
+    return "\n".join(mark + line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""])
+
+
+def test_license_texts():
+    scanner = licenses.Scanner()
+    three = (
+        "Copyright (c) 2019, Jane Roe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution.\n\n3. Neither the name of Example Labs nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.\n\n" + license_texts._BSD_ASIS
+    )
+    two = three[: three.index("3. Neither")] + license_texts._BSD_ASIS
+    gpl = (
+        "This file is part of Foo.\n\nFoo is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; "
+        "either version {} of the License, or (at your option) any later version.\n\nFoo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    )
+    cases = [
+        ("BSD-3-Clause", three), ("BSD-2-Clause", two), ("GPL-2.0", gpl.format("General Public License", "2")), ("GPL-3.0", gpl.format("General Public License", "3")),
+        ("LGPL-2.1", gpl.format("Lesser General Public License", "2.1")), ("AGPL-3.0", gpl.format("Affero General Public License", "3")),
+        ("MIT", license_texts._MIT + license_texts._MIT_NOTICE), ("MIT", "MIT License\n\nCopyright (c) 2020 A B\n\n" + license_texts.TEXTS["MIT"][0]),
+        ("ISC", "Copyright 2020 A\n\n" + license_texts.TEXTS["ISC"][0]), ("Apache-2.0", license_texts.TEXTS["Apache-2.0"][0]), ("MPL-2.0", license_texts.TEXTS["MPL-2.0"][0]),
+        ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"), ("Apache-2.0,MIT", "SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+        ("", "A license to redistribute and use software is a permission that the copyright holder gives, with or without conditions."),
+    ]
+    for want, text in cases:
+        for mark in ("", " * ", "# ", "// "):
+            around = "int before;\n" + wrapped(text, mark) + "\nint after;\n" * 3
+            found = scanner.scan(around)
+            assert ",".join(sorted({f[0] for f in found})) == want, (want, mark, found)
+            assert all("before" not in around[a:b] and "after" not in around[a:b] for _, a, b, _, _ in found)
+
+
 def test_licenses(spark, edge, empty):
     texts = [
         "Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.",
