@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontamination, exact_dedup, simhash, toxicity
-from foliant.llm.common import keep_rows, materialise, read, small_batches
+from foliant.llm import bpe, decontamination, exact_dedup, shingle_dedup, toxicity
+from foliant.llm.common import keep_rows, materialise, read
 from foliant.llm.queries import VOCABULARY
 
 
@@ -28,15 +28,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-copies; which are linked is SimHash's decision."""
-    rows = materialise(simhash.fingerprints(docs))
-    groups = simhash.near_groups(rows)
-    # Of the rows that carry a component's smallest id (more than one only if ids repeat), the smallest fingerprint.
-    named = rows.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy("root", "component_id").agg(F.min("fp").alias("__fp")).select("__fp", F.col("component_id").alias("__id"))
-    small_batches(spark)
-    keyed = docs.withColumn("__fp", _fingerprint(docs)).withColumn("__id", F.col("doc_id"))
-    return keep_rows(_no_null(keyed), _no_null(kept), ["__fp", "__id"])
+    """Keep the document of smallest id of each group of near-copies: five-word shingles of Jaccard similarity 0.8 link."""
+    linked = shingle_dedup.near_nodes(docs)
+    rows = materialise(docs.select("doc_id", shingle_dedup.nodes().alias("node")))
+    groups = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Of the rows that carry a group's smallest id (more than one only if ids repeat), the smallest node.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
+    kept = groups.groupBy("root").agg(least).select(F.col("least.node").alias("__node"), F.col("least.doc_id").alias("__id"))
+    keyed = docs.withColumn("__node", shingle_dedup.nodes()).withColumn("__id", F.col("doc_id"))
+    return keep_rows(_no_null(keyed), _no_null(kept), ["__node", "__id"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +49,6 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, VOCABULARY)
 
 
-def _fingerprint(docs: DataFrame):
-    def signed(text: str | None) -> int:
-        fp = simhash.fingerprint(text or "")
-        return fp - (1 << 64) if fp >> 63 else fp
-
-    return F.udf(signed, "long", useArrow=True)(F.col("text").cast("string"))
-
-
 def _no_null(df: DataFrame) -> DataFrame:
     """Ids as join keys: null is a value of its own."""
     return df.withColumn("__id", F.coalesce(F.col("__id").cast("string"), F.lit("null")))
@@ -65,12 +57,12 @@ def _no_null(df: DataFrame) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("shingle_near_dedup", drop_near_copies),
     ("benchmark_decontamination", drop_leaks),
     ("byte_level_bpe", tokenise),
 ]
 
-#: SQL expresses neither the classifier nor the fingerprints; tests compare run() with a brute-force version.
+#: SQL expresses neither the classifier nor the hashed shingles; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

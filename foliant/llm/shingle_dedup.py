@@ -1,0 +1,124 @@
+"""Near-copies by exact Jaccard similarity of five-word shingles.
+
+Two sets of similarity t share l shingles in their prefixes: the first n - ceil(t * n) + l of n shingles in any order that
+is the same for all. l is 1 for short texts and up to 8 for longer ones; of two, the smaller counts. Shingles frequent in a sample of the texts come last in it, which bears on the cost alone. Texts that
+share a prefix shingle are compared with the first text of the bucket; then, in buckets that hold more than one component,
+with those of other components. Every pair that counts is confirmed on the texts. No bucket is capped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import map_texts, materialise, whole_text
+from .components import connected_components
+
+#: Similarity as a fraction, so that comparisons are exact.
+SIMILARITY = (4, 5)
+WIDTH = 5
+#: One text in so many is sampled for frequent shingles, and at most so many of them are put last.
+_SAMPLE, _FREQUENT = 16, 200_000
+#: Most shared prefix shingles that are asked for; and texts up to which a set of their keys is broadcast.
+_SHARED, _BROADCAST = 8, 500_000
+
+
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes, sorted, of the ``width``-word shingles: A-Z lower-cased, words split at ``[\\x20\\x09-\\x0D]``.
+
+    Fewer words than ``width``: the whole sequence is the only shingle.
+    """
+    words = text.encode().lower().split()
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), dtype="<u8").view("<i8"))
+
+
+def nodes(text_col: str = "text") -> Column:
+    return F.xxhash64(whole_text(text_col))
+
+
+def _asked(n):
+    """Prefix shingles that a text of n shingles has to share, as a number or a column."""
+    return F.least(F.lit(_SHARED), F.greatest(F.lit(1), F.floor(n / 10))) if isinstance(n, Column) else min(_SHARED, max(1, n // 10))
+
+
+def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        for (text,) in rows:
+            yield (shingles(text),)
+
+    sample = docs.select(whole_text(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE)) == 0)
+    counted = map_texts(sample, run, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return np.array(sorted(r.h for r in counted.where("n >= 3").orderBy(F.desc("n")).limit(_FREQUENT).collect()), dtype="<i8")
+
+
+def _entries(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h, node, n, at): the shingles of each text's prefix, their places in it, and the size of the text's set."""
+    session = docs.sparkSession.sparkContext
+    last = session.broadcast(_frequent(docs, text_col))
+    up, down = SIMILARITY
+
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        for key, text in rows:
+            own = shingles(text)
+            if len(last.value):
+                seen = np.isin(own, last.value, assume_unique=True)
+                ordered = np.concatenate([own[~seen], own[seen]])
+            else:
+                ordered = own
+            yield key, len(own), ordered[: len(own) - -(-up * len(own) // down) + _asked(len(own))]
+
+    rows = map_texts(docs.select(nodes(text_col).alias("node"), whole_text(text_col).alias("text")), run, "node long, n long, prefix array<long>")
+    return rows.select("node", "n", F.posexplode("prefix").alias("at", "h"))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """The (u, v) whose texts are similar."""
+    pairs = materialise(pairs)
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    if wanted.count() <= _BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(nodes(text_col).alias("node"), whole_text(text_col).alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = materialise(texts)
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    up, down = SIMILARITY
+
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        last, held = None, None
+        for u, v, a, b in rows:
+            if v != last:
+                last, held = v, shingles(b)
+            own = shingles(a)
+            same = len(np.intersect1d(own, held, assume_unique=True))
+            if down * same >= up * (len(own) + len(held) - same):
+                yield u, v
+
+    return materialise(map_texts(both.select("u", "v", "a", "b"), run, "u long, v long"))
+
+
+def near_nodes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, root) for the texts that are linked, over any number of links, to another text."""
+    up, down = SIMILARITY
+    bucket = Window.partitionBy("h").orderBy("node")
+    entries = _entries(docs, text_col).withColumns({"first": F.first("node").over(bucket), "before": F.lag("node").over(bucket), "after": F.lead("node").over(bucket), "first_n": F.first("n").over(bucket)})
+    # Equal texts share their node, so buckets of one text and its repeats have nothing to compare.
+    shared = materialise(entries.where("before <> node OR after <> node").drop("before", "after").distinct())
+    alike = F.least("n", "first_n") * down >= F.greatest("n", "first_n") * up
+    meet = shared.where((F.col("first") != F.col("node")) & alike).groupBy(F.col("first").alias("u"), F.col("node").alias("v"))
+    stars = meet.agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("first_n").alias("m")).where(F.col("met") >= _asked(F.least("n", "m"))).select("u", "v")
+    links = _confirmed(docs, stars, text_col)
+    joined = connected_components(links)
+    placed = shared.select("h", "node", "n", "at").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    placed = materialise(placed.join(mixed, "h", "left_semi"))
+    a, b = (placed.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "root"))) for s in "ab")
+    least = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
+    may = (F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up) & (least * (up + down) >= (F.col("n_a") + F.col("n_b")) * up)
+    across = a.join(b, "h").where((F.col("root_a") < F.col("root_b")) & may)
+    pairs = across.groupBy(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).agg(F.count(F.lit(1)).alias("met"), F.first(F.least("n_a", "n_b")).alias("n"))
+    pairs = pairs.where(F.col("met") >= _asked(F.col("n"))).select("u", "v").join(stars, ["u", "v"], "left_anti")
+    return connected_components(links.union(_confirmed(docs, pairs, text_col)))

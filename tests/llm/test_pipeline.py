@@ -1,6 +1,7 @@
 """The pipeline against a version that works in plain Python."""
 
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -33,3 +34,37 @@ def test_stages_keep_columns(spark, sf_dir, rows):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert docs.count() == (3 if rows else 0)
+
+
+def brute_near(rows, width=5):
+    sets = []
+    for _, t in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if root[i] != root[j] and 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root[i]] = min(doc_id, least.get(root[i], doc_id))
+    return sorted(least.values())
+
+
+def test_near_copies_by_shingles(spark, sf_dir):
+    rnd = random.Random(9)
+    rows, common = [], "the same common line stands in every one of these texts "
+    for g in range(6):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+        for k in range(12):
+            words = list(base)
+            for _ in range(rnd.randrange(5)):
+                words[rnd.randrange(len(words))] = f"v{rnd.randrange(3000)}"
+            rows.append((len(rows), common + " ".join(words[: len(words) - rnd.randrange(12)])))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for df, texts in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, [tuple(r) for r in docs.collect()])):
+        want = brute_near(texts)
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, sf_dir).collect()) == want and len(want) < len(texts)
