@@ -10,7 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, whole_text
 
-#: Pre-tokens remembered by a worker (about 150 bytes each); more than that and the memo starts anew.
-MEMO_ENTRIES = 200_000
+#: Pre-tokens in each of a memo's two generations (about 200 bytes each), and characters of one that is remembered.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 
 
 class MinimalPerfectHash:
@@ -69,17 +70,22 @@ class MinimalPerfectHash:
 
 
 class _Memo(dict):
-    """Pre-token to packed ids; what is missing is encoded."""
+    """What ``make`` gives for a pre-token, remembered in two generations: the young one ages when it is full, and what
+    is asked for again moves back, so that frequent pre-tokens are never forgotten all at once."""
 
-    def __init__(self, encode):
+    def __init__(self, make: Callable[[str], object]):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, token: str) -> bytes:
-        out = self.encode(token.encode())
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        if len(token) <= 64:
+        self.make = make
+        self.old: dict = {}
+
+    def __missing__(self, token: str):
+        out = self.old.get(token)
+        if out is None:
+            out = self.make(token)
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
             self[token] = out
         return out
 
@@ -92,8 +98,14 @@ class Codec:
         self.ids = ids
         self.ranks = dict(zip(tokens, ids))
         self.bytes_of = dict(zip(ids, tokens))
+        self.pairs = [-1] * 65_536  # ranks of two bytes, the first times 256
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.memo = _Memo(self._packed)
+        self.packed = _Memo(lambda token: array("I", self.ids_of(token)).tobytes())
+        self.lengths = _Memo(lambda token: len(self.ids_of(token)))
 
     @classmethod
     def from_file(cls, path: str, pattern: str | None = None) -> Codec:
@@ -107,49 +119,51 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
-        n, ranks = len(piece), self.ranks
-        ends = list(range(1, n + 1))  # of the part that starts here
-        before = list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2], -1) if i + 2 <= n else -1 for i in range(n)]  # of the part and the next
-        heap = [(r << 32) | i for i, r in enumerate(pair) if r >= 0]
+        n, rank_of, pairs, single = len(piece), self.ranks.get, self.pairs, self.single
+        pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # of the part that starts here and the next
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        out = [single[b] for b in piece]  # ids of parts; -1 inside one
+        if not heap:
+            return out
+        pair.append(-1)
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             i, rank = top & 0xFFFFFFFF, top >> 32
             if pair[i] != rank:
                 continue
             gone = ends[i]
-            end = ends[i] = ends[gone]
-            pair[gone] = -2
+            ends[i] = end = ends[gone]
+            pair[gone], out[gone], out[i] = -2, -1, rank
             if end < n:
                 before[end] = i
-                pair[i] = r = ranks.get(piece[i : ends[end]], -1)
+                pair[i] = r = rank_of(piece[i : ends[end]], -1)
                 if r >= 0:
-                    heapq.heappush(heap, (r << 32) | i)
+                    push(heap, r << 32 | i)
             else:
                 pair[i] = -1
             left = before[i]
             if left >= 0:
-                pair[left] = r = ranks.get(piece[left:end], -1)
+                pair[left] = r = rank_of(piece[left:end], -1)
                 if r >= 0:
-                    heapq.heappush(heap, (r << 32) | left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
-        return out
+                    push(heap, r << 32 | left)
+        return [x for x in out if x >= 0]
 
-    def _packed(self, piece: bytes) -> bytes:
+    def ids_of(self, token: str) -> list[int]:
+        """Ids of one pre-token, by the minimal perfect hash or else by merging."""
+        piece = token.encode()
         at = self.table.find(piece)
-        ids = [self.ids[at]] if at >= 0 else self.merge(piece)
-        return np.array(ids, dtype="<u4").tobytes()
+        return [self.ids[at]] if at >= 0 else self.merge(piece)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        return b"".join(map(self.packed.__getitem__, self.split(text)))
 
-    def count(self, token: str) -> int:
-        return len(self.memo[token]) // 4
+    def counts(self, tokens: list[str]) -> list[int]:
+        """The number of ids of each pre-token."""
+        return list(map(self.lengths.__getitem__, tokens))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,15 +20,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder that is set, by call or as ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    is a temporary folder used.
+    Only a local session (tests, a laptop) gets a temporary folder where none is set; a cluster without one is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="foliant-")
+        sc.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -57,6 +68,7 @@ def map_texts(
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(50_000)  # a slice's objects have no cycles; looking for them often costs a seventh of the time
         state = start() if start else None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -70,10 +82,12 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``docs`` whose ``keys`` are in ``kept``, one for each key; the keys are left out of the result.
+def keep_rows(docs: DataFrame, keys: list[Column], kept: DataFrame) -> DataFrame:
+    """For each row of ``kept``, whose columns are values of ``keys`` (null is a value), one row of ``docs``.
 
-    The join and the removal of repeats share one exchange, and the keys are nearly unique, so no group is hot.
+    Rows travel packed, so that their columns may have any names. The join and the removal of repeats share one
+    exchange, and the keys are nearly unique, so no group is hot.
     """
-    rows = docs.join(kept.select(*keys), keys, "left_semi").dropDuplicates(keys)
-    return rows.select(*[c for c in docs.columns if c not in keys])
+    rows = docs.select(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))).alias("key"), F.struct("*").alias("row"))
+    wanted = kept.select(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept.columns))).alias("key"))
+    return rows.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -1,8 +1,8 @@
 """Edit-aware token counts.
 
-A document's pre-tokens sit in blocks under a segment tree whose nodes sum characters and tokens. An edit re-splits
-the text from the last pre-token that can't have seen it until a pre-token boundary falls on an old one again, counts
-the tokens of what is new, and updates the sums on the paths of the blocks it touched.
+A document's pre-tokens and their token counts sit in blocks under a segment tree whose nodes sum characters and
+tokens. An edit re-splits the text from the last pre-token that can't have seen it until a pre-token boundary falls on
+an old one again, encodes only what is new, and updates the sums on the paths of the blocks it touched.
 """
 
 from __future__ import annotations
@@ -22,18 +22,21 @@ _SEEN = 2
 
 
 class TokenTree:
-    """Token counts of one text under edits. reencoded: pre-tokens counted since the tree was made."""
+    """Token counts of one text under edits. reencoded: pre-tokens encoded since the tree was made."""
 
     def __init__(self, text: str, codec: Codec, block: int = 128):
         self.codec, self.block, self.reencoded = codec, block, 0
-        self._build(codec.split(text))
+        tokens = codec.split(text)
+        self._build(tokens, codec.counts(tokens))
 
-    def _build(self, tokens: list[str]) -> None:
-        self.blocks = [tokens[i : i + self.block] for i in range(0, len(tokens), self.block)] or [[]]
+    def _build(self, tokens: list[str], counts: list[int]) -> None:
+        starts = range(0, len(tokens), self.block) or [0]
+        self.blocks = [tokens[i : i + self.block] for i in starts]
+        self.counts = [counts[i : i + self.block] for i in starts]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, part in enumerate(self.blocks):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(map(len, part)), sum(map(self.codec.count, part))
+        for i, (part, each) in enumerate(zip(self.blocks, self.counts)):
+            self.chars[self.size + i], self.tokens[self.size + i] = len("".join(part)), sum(each)
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
@@ -74,7 +77,7 @@ class TokenTree:
                 break
             first -= 1
             before -= self.chars[self.size + first]
-        head, begin = self.blocks[first][:keep], ends[keep]
+        begin = ends[keep]
         old = self.blocks[first][keep:]  # pre-tokens from ``begin`` on, as far as they are looked at
         last = first
         ahead = 8
@@ -106,15 +109,17 @@ class TokenTree:
                 break
             ahead *= 2
         self.reencoded += len(fresh)
-        self.blocks[first] = head + fresh + old[met:]
+        known = [n for i in range(first, last + 1) for n in self.counts[i]]  # a kept pre-token keeps its count
+        self.blocks[first] = self.blocks[first][:keep] + fresh + old[met:]
+        self.counts[first] = known[:keep] + self.codec.counts(fresh) + known[keep + met :]
         for i in range(first + 1, last + 1):
-            self.blocks[i] = []
+            self.blocks[i], self.counts[i] = [], []
         if len(self.blocks[first]) > 8 * self.block:
-            self._build([t for b in self.blocks for t in b])
+            self._build([t for b in self.blocks for t in b], [n for b in self.counts for n in b])
             return
         for i in range(first, last + 1):
             node = self.size + i
-            self.chars[node], self.tokens[node] = sum(map(len, self.blocks[i])), sum(map(self.codec.count, self.blocks[i]))
+            self.chars[node], self.tokens[node] = len("".join(self.blocks[i])), sum(self.counts[i])
             while node > 1:
                 node //= 2
                 self._sum(node)
