@@ -22,6 +22,11 @@ def normalised(text_col: str):
     return F.regexp_replace(whole_text(text_col), _SPACES, " ")
 
 
+def digest(text_col: str = "text"):
+    """SHA-256 of the normalised text, binary."""
+    return F.unhex(F.sha2(normalised(text_col), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, digest (SHA-256 of the normalised text, binary) and an independent check hash."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"))
