@@ -1,85 +1,17 @@
-"""Corpus preparation: toxic documents go, copies and near-copies are reduced to one, benchmark leaks go, tokens come out.
-
-Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns whole rows of
-``documents``; the last returns one row of token results for each document left.
-"""
+"""Entry point of the five-stage corpus pipeline; its stages are in ``foliant.llm.pipeline``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from foliant.llm import bpe, decontamination, exact_dedup, shingle_dedup, toxicity
-from foliant.llm.common import keep_rows, materialise, read
-from foliant.llm.queries import VOCABULARY
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit the toxicity classifier on the labelled documents and keep those that it scores below 0.5."""
-    return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of equal texts (one row where it is repeated)."""
-    rows = materialise(exact_dedup.digests(docs))
-    kept = exact_dedup.merged_runs(rows).select("digest", F.col("keep_id").alias("__id"))
-    keyed = docs.withColumn("digest", F.unhex(F.sha2(exact_dedup.normalised("text"), 256))).withColumn("__id", F.col("doc_id"))
-    return keep_rows(_no_null(keyed), _no_null(kept), ["digest", "__id"])
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-copies: five-word shingles of Jaccard similarity 0.8 link."""
-    linked = shingle_dedup.near_nodes(docs)
-    rows = materialise(docs.select("doc_id", shingle_dedup.nodes().alias("node")))
-    groups = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Of the rows that carry a group's smallest id (more than one only if ids repeat), the smallest node.
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
-    kept = groups.groupBy("root").agg(least).select(F.col("least.node").alias("__node"), F.col("least.doc_id").alias("__id"))
-    keyed = docs.withColumn("__node", shingle_dedup.nodes()).withColumn("__id", F.col("doc_id"))
-    return keep_rows(_no_null(keyed), _no_null(kept), ["__node", "__id"])
 
+from foliant.llm import pipeline
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents in which a window of a benchmark item occurs."""
-    return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
-
-
-def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode every document left."""
-    return bpe.bpe_digests(docs, VOCABULARY)
-
-
-def _no_null(df: DataFrame) -> DataFrame:
-    """Ids as join keys: null is a value of its own."""
-    return df.withColumn("__id", F.coalesce(F.col("__id").cast("string"), F.lit("null")))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("shingle_near_dedup", drop_near_copies),
-    ("benchmark_decontamination", drop_leaks),
-    ("byte_level_bpe", tokenise),
-]
+STAGES = pipeline.STAGES
 
 #: SQL expresses neither the classifier nor the hashed shingles; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each one keeps is written to the shared folder and read again."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="foliant-")
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = f"{root}/pipeline-{uuid.uuid4().hex}/{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Apply the stages to ``documents``: one row of token results for each document left."""
+    return pipeline.run(spark, sf_dir, STAGES)
