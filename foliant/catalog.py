@@ -405,7 +405,7 @@ def page_nodes(spark, sf_dir):
 
 @query("page_headings", f"SELECT page_id, 1 AS level, {_PAGE_TITLE} AS content FROM pages")
 def page_headings(spark, sf_dir):
-    return pages.headings(_nodes(spark, sf_dir)).select("page_id", "level", text.trimmed(F.col("content")).alias("content"))
+    return pages.headings(table(spark, sf_dir, "pages")).select("page_id", "level", text.trimmed(F.col("content")).alias("content"))
 
 
 @query(
@@ -413,7 +413,7 @@ def page_headings(spark, sf_dir):
     r"SELECT page_id, len(h) AS n_links, array_to_string(h, ' ') AS hrefs FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS h FROM pages) q WHERE len(h) > 0",
 )
 def page_links(spark, sf_dir):
-    found = pages.links(_nodes(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("h"))
+    found = pages.links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("h"))
     return found.select("page_id", F.size("h").cast("long").alias("n_links"), F.array_join(F.transform("h", lambda x: x["href"]), " ").alias("hrefs"))
 
 

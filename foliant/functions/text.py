@@ -1,4 +1,8 @@
-"""Text cleaning and title parsing as Column expressions (no Python on the executors)."""
+"""Text cleaning and title parsing as Column expressions (no Python on the executors).
+
+Patterns with a run before a look-ahead start a run only at its first character and keep it whole, so that they are
+linear in runs of any length.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,12 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return _sub(c, f"\\A[{TRIM}]+|[{TRIM}]+\\z", "")
+    return _sub(c, f"\\A[{TRIM}]++|(?<![{TRIM}])[{TRIM}]++\\z", "")
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 code units, the unit of stored offsets."""
+    return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int")
 
 
 def trimmed_ascii(c: Column) -> Column:
@@ -30,7 +39,7 @@ def _no_break_spaces(c: Column) -> Column:
 
 
 def _trimmed_lines(c: Column) -> Column:
-    return _sub(_sub(c, r"(?:\A|(?<=\n))[ \t\r]+", ""), r"[ \t\r]+(?=\n|\z)", "")
+    return _sub(_sub(c, r"(?:\A|(?<=\n))[ \t\r]++", ""), r"(?<![ \t\r])[ \t\r]++(?=\n|\z)", "")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -49,8 +58,9 @@ def fix_line_breaks(c: Column) -> Column:
     c = F.replace(c, F.lit("\x01"), F.lit(""))
     c = _sub(c, f"([{LETTER}])-\\n([{SMALL}])", "$1$2")
     c = _sub(c, f"[{SPACE}]([{LETTER}])\\n([{SMALL}]+)", " $1$2")
-    c = _sub(c, f"([{low}])[{INLINE}]*\\n[{INLINE}]*([{low}][^\\n]*)", "$1 $2\x01")
-    c = F.replace(_sub(c, f"[{INLINE}]+(?=\\n|\\z)", ""), F.lit("\x01"), F.lit(""))
+    # The look-ahead is cheap where no line ends and starts no run of spaces twice; only then is the large class tried.
+    c = _sub(c, f"(?=[^{INLINE}\\n][{INLINE}]*+\\n)([{low}])[{INLINE}]*+\\n[{INLINE}]*+([{low}][^\\n]*+)", "$1 $2\x01")
+    c = F.replace(_sub(c, f"(?<![{INLINE}])[{INLINE}]++(?=\\n|\\z)", ""), F.lit("\x01"), F.lit(""))
     for broken in ("historii\ndla", "oświaty\ni", "ogólnego\ndo", "wiedzy\no"):  # fixed values
         c = F.replace(c, F.lit(broken), F.lit(broken.replace("\n", " ")))
     return _sub(c, r"(?<![A-Za-z0-9_])([A-Za-z])\n([a-z])", "$1$2")
@@ -69,12 +79,12 @@ def clean_text(c: Column, fix_breaks: bool = True) -> Column:
 
 def clean_whitespace(c: Column) -> Column:
     """Chunks between line feeds or double spaces, trimmed; those that aren't empty, one a line."""
-    return _sub(_sub(c, f"[{TRIM}]*?(?:\\n| {{2}})[{TRIM}]*", "\n"), f"\\A[{TRIM}]+|[{TRIM}]+\\z", "")
+    return trimmed(_sub(c, f"(?<![{TRIM}])(?=[{TRIM}]*?(?:\\n| {{2}}))[{TRIM}]++", "\n"))
 
 
 def clean_extracted_text(c: Column) -> Column:
     """White space of text taken from markup: lines trimmed, single spaces, at most one empty line in a row."""
-    c = _sub(_sub(_sub(c, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
+    c = _sub(_sub(_sub(c, r"(?:\G|(?<![ \t]))[ \t]*+\n[ \t]*+", "\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}+", " ")
     c = trimmed_ascii(_sub(_trimmed_lines(c), r"\n{3,}", "\n\n"))
     return _no_break_spaces(c)
 

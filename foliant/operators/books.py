@@ -15,7 +15,7 @@ from ..plans.rows import map_rows
 from . import toc
 from .pages import annotated, shifted, stored, stored_blocks
 
-#: Sections longer than this are flagged.
+#: Sections of more UTF-16 units than this are flagged.
 LONG_SECTION = 50_000
 
 
@@ -84,7 +84,7 @@ def sections(entries: DataFrame, chapters: DataFrame, chapter_html: DataFrame) -
     return rows.select(
         "book_id", "pos", "parent_pos", "depth", "title", location.alias("location"), "text", "structured_json",
         F.coalesce("fallback", F.lit(False)).alias("fallback"), (F.coalesce("wrapper", F.lit(False)) & F.col("spine_index").isNotNull()).alias("wrapper"),
-        F.when(F.length("text") > LONG_SECTION, "long").when(F.col("text") == "", "empty").alias("warning"),
+        F.when(text.utf16_length(F.col("text")) > LONG_SECTION, "long").when(F.col("text") == "", "empty").alias("warning"),
     )
 
 
@@ -98,7 +98,7 @@ def merged_wrappers(rows: DataFrame) -> DataFrame:
     own = F.coalesce("text", F.lit(""))
     gap = F.when(own == "", "").otherwise("\n\n")
     whole = F.concat(F.col("_wtext"), gap, own)
-    moved = shifted(stored_blocks(F.col("structured_json"), own), F.length("_wtext") + F.length(gap))
+    moved = shifted(stored_blocks(F.col("structured_json"), own), text.utf16_length(F.col("_wtext")) + F.length(gap))
     both = F.concat(stored_blocks(F.col("_wjson"), F.col("_wtext")), moved)
     is_child = F.col("_wtext").isNotNull()
     return df.select(

@@ -116,7 +116,7 @@ def with_images(sections: DataFrame, figs: DataFrame) -> DataFrame:
     """Sections with an image block for each of their figures at the end of their text; sections without text stay."""
     paths = by_section(figs).withColumnRenamed("owner_pos", "pos")
     df = sections.join(paths, ["book_id", "pos"], "left")
-    end = F.length("text")
+    end = text.utf16_length(F.col("text"))
     image = F.from_json(F.lit('{"type":"image","marks":[]}'), BLOCK)
     added = F.transform("paths", lambda p: image.withField("start", end).withField("end", end).withField("imagePath", p))
     whole = F.concat(stored_blocks(F.col("structured_json"), F.col("text")), added)

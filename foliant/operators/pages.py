@@ -57,27 +57,28 @@ def fragment_node(nodes: DataFrame, fragment: Column, id_col: str = "page_id") -
     return nodes.where(rank.isNotNull()).groupBy(id_col).agg(best["node_id"].alias("node_id"))
 
 
-def element_texts(nodes: DataFrame, where: Column, id_col: str = "page_id") -> DataFrame:
-    """id, node_id, tag, attrs, content of the elements for which ``where`` holds: the text nodes in their range, joined."""
-    chosen = nodes.where((F.col("kind") == "element") & where).select(id_col, "node_id", "end_id", "tag", "attrs")
-    words = nodes.where("kind = 'text'").select(id_col, F.col("node_id").alias("at"), "text")
-    inside = (F.col("at") > F.col("node_id")) & (F.col("at") < F.col("end_id"))
-    met = chosen.join(words, id_col, "left").groupBy(id_col, "node_id", "tag").agg(
-        F.first("attrs").alias("attrs"), F.array_sort(F.collect_list(F.when(inside, F.struct("at", "text")))).alias("parts")
-    )
-    return met.select(id_col, "node_id", "tag", "attrs", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("content"))
-
-
-def headings(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+def element_texts(pages: DataFrame, *tags: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, node_id, tag, attrs, content of the elements with these tags, in the parser's pass: no exchange."""
+
+    def kernel(page_id, html):
+        doc = parse(units(html or "")).without(UNSEEN)
+        for node in doc.nodes:
+            if node.tag in tags:
+                yield page_id, node.index, node.tag, list(node.attrs.items()), from_units(node.text())
+
+    columns = "node_id int, tag string, attrs map<string,string>, content string"
+    return map_rows(pages.select(id_col, html_col), kernel, f"{_typed(pages, id_col)}, {columns}")
+
+
+def headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, node_id, level, content of headings."""
-    level = text.heading_level(F.col("tag"))
-    found = element_texts(nodes, level.isNotNull(), id_col)
+    found = element_texts(pages, *(f"h{i}" for i in range(10)), id_col=id_col, html_col=html_col)
     return found.select(id_col, "node_id", text.heading_level(F.col("tag")).alias("level"), "content")
 
 
-def links(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, node_id, href, content of anchors with a target."""
-    found = element_texts(nodes, (F.col("tag") == "a") & F.col("attrs")["href"].isNotNull(), id_col)
+    found = element_texts(pages, "a", id_col=id_col, html_col=html_col).where(F.col("attrs")["href"].isNotNull())
     return found.select(id_col, "node_id", F.col("attrs")["href"].alias("href"), "content")
 
 

@@ -11,24 +11,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Deepest nesting that parents are looked for; a deeper row raises an error rather than losing its parent.
-MOST_DEPTH = 12
-
-
 def in_book() -> W:
     return W.partitionBy("book_id").orderBy("pos")
 
 
 def with_parents(toc: DataFrame) -> DataFrame:
-    """Adds parent_pos and parent_title: of the nearest row before that is less deep; null at the top."""
-    before = in_book().rowsBetween(W.unboundedPreceding, -1)
-    row = F.struct(F.col("pos").alias("p"), F.col("title").alias("t"))
-    last = [F.max(F.when(F.col("depth") == level, row)).over(before) for level in range(MOST_DEPTH)]
-    above = [F.when(F.col("depth") > level, seen) for level, seen in enumerate(last)]
-    too_deep = F.raise_error(F.lit(f"table of contents deeper than {MOST_DEPTH}")).cast("struct<p:bigint,t:string>")
-    parent = F.when(F.col("depth") > MOST_DEPTH, too_deep).otherwise(F.greatest(*above).cast("struct<p:bigint,t:string>"))
-    df = toc.select("*", parent.alias("_parent"))
-    return df.select(*toc.columns, F.col("_parent.p").alias("parent_pos"), F.col("_parent.t").alias("parent_title"))
+    """Adds parent_pos and parent_title: of the nearest row before that is less deep; null at the top.
+
+    A stack of the rows above is carried over a book's rows in order, so nesting may be of any depth; a book's table of
+    contents is bounded by its archive.
+    """
+    row, above = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in toc.schema) + ">", "struct<d:int,p:bigint,t:string>"
+    grouped = toc.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_at"), F.struct(*toc.columns).alias("r")))).alias("rows"))
+
+    def step(s: Column, x: Column) -> Column:
+        r = x["r"]
+        stack = F.filter(s["stack"], lambda e: e["d"] < r["depth"])
+        own = F.struct(r["depth"].cast("int").alias("d"), r["pos"].cast("bigint").alias("p"), r["title"].alias("t"))
+        found = F.struct(r.alias("r"), F.get(stack, F.size(stack) - 1).alias("up"))
+        return F.struct(F.concat(stack, F.array(own)).alias("stack"), F.concat(s["out"], F.array(found)).alias("out"))
+
+    start = F.struct(F.expr(f"cast(array() as array<{above}>)").alias("stack"), F.expr(f"cast(array() as array<struct<r:{row},up:{above}>>)").alias("out"))
+    df = grouped.select(F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("x"))
+    return df.select("x.r.*", F.col("x.up.p").alias("parent_pos"), F.col("x.up.t").alias("parent_title"))
 
 
 def with_children(toc: DataFrame) -> DataFrame:

@@ -72,6 +72,37 @@ def test_wrapper_gives_its_text_to_the_first_child(library):
     assert rows[0].text[first["start"] : first["end"]] == "Part A" and first["type"] == "heading"
 
 
+def test_offsets_are_utf16_units(spark):
+    wrapper = archive(
+        "My Book",
+        [("c0.xhtml", "x", "<html><body><p>Preface 🦀🦀 words that wrap.</p></body></html>"), ("c1.xhtml", "x", CHAPTER.format(images='<img src="i/1.png"/> 🦀'))],
+        [(0, "My book", "c0.xhtml"), (1, "Part A", "c1.xhtml#h.partA"), (1, "Part B", "c1.xhtml#h.partB")],
+        {"i/1.png": PNG},
+    )
+    tables = epub.book_tables(spark.createDataFrame([("b", wrapper)], "path string, content binary"))
+    made = books.extract(tables)
+    figs = figures.figures(figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"]))
+    rows = figures.with_images(made.sections, figs).orderBy("pos").collect()
+
+    def part(text, block):
+        return text.encode("utf-16-le")[2 * block["start"] : 2 * block["end"]].decode("utf-16-le")
+
+    first = json.loads(rows[0].structured_json)["annotations"]
+    assert rows[0].text.startswith("Preface 🦀🦀") and [part(rows[0].text, b) for b in first[:2]][0] == "Part A" and part(rows[0].text, first[1]).startswith("Part A intro")
+    image = json.loads(rows[1].structured_json)["annotations"][-1]
+    assert image["type"] == "image" and image["start"] == len(rows[1].text.encode("utf-16-le")) // 2 == len(rows[1].text) + 1
+
+
+def test_toc_of_any_depth(spark):
+    rows = [("b", p, p if p < 40 else 79 - p, f"t{p}", None) for p in range(80)] + [("c", 0, 5, "x", None), ("c", 1, 9, "y", None), ("c", 2, 7, "z", None)]
+    df = spark.createDataFrame(rows, "book_id string, pos long, depth int, title string, href string")
+    got = {(r.book_id, r.pos): (r.parent_pos, r.parent_title) for r in toc.with_parents(df).collect()}
+    for book, p, depth, _, _ in rows:
+        above = [(q, t) for b, q, d, t, _ in rows if b == book and q < p and d < depth]
+        assert got[book, p] == (max(above) if above else (None, None))
+    assert toc.with_parents(df.limit(0)).count() == 0
+
+
 def test_placeholders(spark):
     rows = [("b", 0, 0, "Top", None), ("b", 1, 1, "Leaf", "c1.xhtml"), ("b", 2, 0, "Lost", None)]
     entries = spark.createDataFrame(rows, "book_id string, pos long, depth int, title string, href string")
@@ -174,9 +205,10 @@ def test_archives_from_files_and_streams(spark, tmp_path):
 
 def test_page_nodes(spark):
     html = '<h1 id="a">One <i>two</i></h1><a name="b" href="/x">link</a><p>p'
-    nodes = pages.page_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
-    assert [tuple(r) for r in pages.headings(nodes).select("level", "content").collect()] == [(1, "One two")]
-    assert [(r.href, r.content) for r in pages.links(nodes).collect()] == [("/x", "link")]
+    rows = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    nodes = pages.page_nodes(rows)
+    assert [tuple(r) for r in pages.headings(rows).select("level", "content").collect()] == [(1, "One two")]
+    assert [(r.href, r.content) for r in pages.links(rows).collect()] == [("/x", "link")]
     ids = [pages.fragment_node(nodes, F.lit(x)).collect() for x in ("a", "b", "c")]
     assert [len(x) for x in ids] == [1, 1, 0]
     assert {r.tag: r.n for r in pages.block_counts(nodes).collect()} == {"h1": 1, "p": 1}

@@ -75,3 +75,17 @@ def test_ranges(spark):
     span = F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"))
     inside = F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"))
     assert tuple(one.select(text.straddles(span, F.col("p")), text.straddles(inside, F.col("p")), text.range_contains(span, F.lit(3))).first()) == (True, False, False)
+
+
+def test_long_runs_of_spaces_take_linear_time(spark):
+    import time
+
+    rules = [text.clean_text, text.normalize_whitespace, text.clean_whitespace, text.clean_extracted_text, text.match_form, text.trimmed]
+    for run in (" ", "\t", "a ", "\u00A0", " \n"):
+        df = spark.createDataFrame([("x" + run * 200_000 + "y",)], "t string")
+        for rule in rules:
+            rule_of = df.select(rule(F.col("t")).alias("r"))
+            rule_of.collect()
+            began = time.time()
+            rule_of.collect()
+            assert time.time() - began < 3, (rule.__name__, run)
