@@ -323,7 +323,17 @@ def page_text(source: str) -> str:
 
 def page_title(source: str) -> str | None:
     """The first h1's text, else the first h2's, h3's or title's; none if all are blank."""
+    return _title(parse(units(source)))
+
+
+def title_and_text(source: str) -> tuple[str | None, str]:
+    """``page_title`` and ``page_text`` of a page that is parsed once."""
     doc = parse(units(source))
+    title, body = _title(doc), doc.without(UNSEEN).body
+    return title, clean_whitespace(body.text() if body else "")
+
+
+def _title(doc: Document) -> str | None:
     for tag in ("h1", "h2", "h3", "title"):
         node = next((n for n in doc.nodes if n.tag == tag), None)
         if node is not None and (title := node.text().strip(TRIM_CHARS)):

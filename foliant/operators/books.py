@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.cleaning import from_units, units
 from ..functions.sections import Page, page_text, page_title
+from ..plans.lineage import written
 from ..plans.rows import map_rows
 from . import toc
 from .pages import annotated, shifted, stored, stored_blocks
@@ -68,7 +69,7 @@ def sections(entries: DataFrame, chapters: DataFrame, chapter_html: DataFrame) -
             if page is None:
                 yield book_id, entry["pos"], chapter_text, None, False
             else:
-                words, kept, fallback = annotated(page, entry["fragment"], entry["next_fragment"], chapter_text)
+                words, kept, fallback = annotated(page, entry["fragment"], entry["next_fragment"], lambda: chapter_text)
                 yield book_id, entry["pos"], from_units(words), kept, fallback
 
     made = map_rows(
@@ -140,9 +141,9 @@ def book_json(books: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def extract(archives: dict[str, DataFrame], fix_breaks: bool = True, with_sections: bool = True) -> Book:
-    """All tables of the books read by ``sources.epub.read_books``."""
-    chapters = chapter_texts(archives["chapter_html"], fix_breaks)
+    """All tables of the books read by ``sources.epub.read_books``; chapters and sections are made once and written."""
+    chapters = written(chapter_texts(archives["chapter_html"], fix_breaks))
     entries = prepared_toc(archives["toc"], archives["books"])
     rows = sections(entries, chapters, archives["chapter_html"])
-    rows = merged_wrappers(rows) if with_sections else rows.limit(0)
+    rows = written(merged_wrappers(written(rows))) if with_sections else rows.limit(0)
     return Book(archives["books"], chapters, entries, rows)

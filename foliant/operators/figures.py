@@ -71,6 +71,25 @@ def references(chapter_html: DataFrame, sections: DataFrame, limits: Limits = Li
     return map_rows(rows, kernel, schema)
 
 
+def data_uris(df: DataFrame, id_col: str, uri_col: str) -> DataFrame:
+    """id, media, data, ext of data URIs; null where one is malformed or none."""
+
+    def kernel(row_id, uri):
+        yield row_id, *(decode_data_uri(uri or "") or (None, None))
+
+    found = map_rows(df.select(id_col, uri_col), kernel, f"{id_col} {dict(df.dtypes)[id_col]}, media string, data binary")
+    return found.withColumn("ext", text.extension_of_mime(F.col("media")))
+
+
+def vector_safety(df: DataFrame, id_col: str, svg_col: str) -> DataFrame:
+    """id, safe: whether a vector graphic has no document type, entities or targets outside of the archive."""
+
+    def kernel(row_id, svg):
+        yield row_id, None if svg is None else safe_svg(bytes(svg))
+
+    return map_rows(df.select(id_col, svg_col), kernel, f"{id_col} {dict(df.dtypes)[id_col]}, safe boolean")
+
+
 def with_bytes(refs: DataFrame, images: DataFrame) -> DataFrame:
     """References with the bytes that they lead to: as told, else with escapes decoded, else without a leading slash."""
     asked = refs.where("tries is not null").select("book_id", "chapter_href", "dom_index", F.posexplode("tries").alias("n", "href"))

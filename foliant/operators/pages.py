@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import text
 from ..functions.annotations import blocks_by_words, section_blocks, structured_json
 from ..functions.cleaning import from_units, units
 from ..functions.dom import parse
-from ..functions.sections import BLOCKS, UNSEEN, Page, node_rows, page_text, page_title
+from ..functions.sections import BLOCKS, UNSEEN, Page, node_rows, page_text, title_and_text
 from ..plans.rows import map_rows
 
 MARK = "struct<type:string,start:int,end:int,style:string,url:string>"
@@ -30,8 +31,8 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """id, title, text, n_chars of each page; a page without a title takes the base of its name."""
 
     def kernel(page_id, html, base):
-        title = page_title(html or "")
-        yield page_id, from_units(title) if title else base or "", from_units(page_text(html or ""))
+        title, words = title_and_text(html or "")
+        yield page_id, from_units(title) if title else base or "", from_units(words)
 
     rows = pages.select(id_col, html_col, text.base_name(F.col(name_col)).alias("base"))
     return map_rows(rows, kernel, f"{_typed(pages, id_col)}, title string, text string").withColumn("n_chars", F.length("text").cast("long"))
@@ -87,12 +88,12 @@ def block_counts(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tag").isin(*sorted(BLOCKS))).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def annotated(page: Page, fragment: str | None, following: str | None, otherwise: str | None) -> tuple[str, str | None, bool]:
-    """(text, stored annotations, whether ranges didn't hold) of a section; ``otherwise`` is the text of the whole page."""
+def annotated(page: Page, fragment: str | None, following: str | None, otherwise: Callable[[], str | None]) -> tuple[str, str | None, bool]:
+    """(text, stored annotations, whether ranges didn't hold) of a section; ``otherwise`` gives the text of the whole page."""
     try:
         section = page.extract(fragment, following).cleaned()
     except (ValueError, LookupError, RecursionError):
-        plain = otherwise if fragment is None and following is None else page.plain_section(fragment, following)
+        plain = otherwise() if fragment is None and following is None else page.plain_section(fragment, following)
         return plain, structured_json(plain, blocks_by_words(page, plain)) if plain else None, True
     return section.text, structured_json(section.text, section_blocks(section)) if section.text else None, False
 
@@ -102,12 +103,23 @@ def annotated_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
     def kernel(page_id, html):
         source = units(html or "")
-        words, stored, fallback = annotated(Page(source), None, None, page_text(html or ""))
+        words, stored, fallback = annotated(Page(source), None, None, lambda: page_text(html or ""))
         yield page_id, from_units(words), stored, fallback
 
     return map_rows(pages.select(id_col, html_col), kernel, f"{_typed(pages, id_col)}, text string, structured_json string, fallback boolean")
 
 
+def annotated_texts(texts: DataFrame, id_col: str, html_col: str, text_col: str) -> DataFrame:
+    """id, text, structured_json: annotations of given texts, their blocks found by the words of their markup."""
+
+    def kernel(text_id, html, words):
+        own = units(words or "")
+        yield text_id, words, structured_json(own, blocks_by_words(Page(units(html or "")), own))
+
+    rows = texts.select(id_col, html_col, F.col(text_col).alias("text"))
+    return map_rows(rows, kernel, f"{_typed(texts, id_col)}, text string, structured_json string")
+
+
 def extracted_sections(pages: DataFrame, id_col: str, html_col: str, fragment_col: str, following_col: str) -> DataFrame:
     """The input's id with text, preserved and elements (tag, ranges) of a section before cleaning, and its error if
     ranges don't hold. Offsets are UTF-16 units."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.charsets import TRIM_CHARS
 from ..functions.dom import Node, parse
+from ..plans.lineage import written
 from ..plans.rows import map_rows
 from .guards import GuardError, Limits, check
 
@@ -186,8 +187,12 @@ def read_archives(spark: SparkSession, path: str, limits: Limits = Limits()) ->
     return within.unionByName(files.where(F.col("length") > limits.max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
-def book_tables(archives: DataFrame, limits: Limits = Limits(), id_col: str = "path", content_col: str = "content") -> dict[str, DataFrame]:
-    """books, toc, chapter_html and images of the archives in a column; bad archives are rows of books with guard_error."""
+def book_tables(archives: DataFrame, limits: Limits = Limits(), id_col: str = "path", content_col: str = "content", once: bool = True) -> dict[str, DataFrame]:
+    """books, toc, chapter_html and images of the archives in a column; bad archives are rows of books with guard_error.
+
+    Archives are read and parsed once, in this call: their rows are written to the shared folder, a part for each table.
+    With ``once`` off (streams) nothing is written, and each use of a table reads the archives again.
+    """
 
     def kernel(book_id, content):
         if content is None:
@@ -196,6 +201,7 @@ def book_tables(archives: DataFrame, limits: Limits = Limits(), id_col: str = "p
             yield from archive_rows(book_id, bytes(content), limits)
 
     rows = map_rows(archives.select(F.col(id_col).cast("string"), content_col), kernel, _SCHEMA)
+    rows = written(rows, "kind") if once else rows
 
     def of(kind: str) -> DataFrame:
         return rows.where(F.col("kind") == kind)

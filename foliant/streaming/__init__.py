@@ -28,4 +28,4 @@ def stream_archives(spark: SparkSession, path: str, limits: Limits = Limits(), f
     """The tables of archives as they arrive below a path."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return book_tables(files.where(F.col("length") <= limits.max_bytes), limits)
+    return book_tables(files.where(F.col("length") <= limits.max_bytes), limits, once=False)
