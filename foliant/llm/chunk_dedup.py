@@ -58,10 +58,10 @@ def cuts(raw: bytes, how: Chunking, gear: np.ndarray) -> list[int]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, key: rows of equal id and text share a key."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn(
-        "key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    )
+    """doc_id, text, key: rows of equal id and text share a key, 128 bits that stand for both."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text"))
+    return rows.withColumn("key", F.unhex(F.md5(named.cast("binary"))))
 
 
 def chunks(keyed: DataFrame, how: Chunking) -> DataFrame:
@@ -76,7 +76,7 @@ def chunks(keyed: DataFrame, how: Chunking) -> DataFrame:
                 yield key, doc_id, start, xxhash.xxh3_128_digest(raw[start:end])
                 start = end
 
-    return map_texts(keyed.select("doc_id", "text", "key"), run, "key long, doc_id long, start int, digest binary")
+    return map_texts(keyed.select("doc_id", "text", "key"), run, "key binary, doc_id long, start int, digest binary")
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:

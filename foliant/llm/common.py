@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 #: Rows turned into Python objects at a time; bounds a worker's memory, not the work.
 SLICE_ROWS = 256
 #: Rows of an Arrow batch, at most: texts are long, and both sides hold a batch whole.
@@ -20,22 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint folder that is set, by call or as ``spark.checkpoint.dir``.
-
-    Only a local session (tests, a laptop) gets a temporary folder where none is set; a cluster without one is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="foliant-")
-        sc.setCheckpointDir(folder)
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
     shared_folder(df.sparkSession)
@@ -54,6 +39,25 @@ def whole_text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def gathered(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose small batches are joined to some of at least ``rows`` rows."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(50_000)
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for made in run(batches):
+            held.append(made)
+            size += made.num_rows
+            if size >= rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return joined
+
+
 def map_texts(
     df: DataFrame, function: Callable[[list[tuple]], Iterator[tuple]], schema: str, start: Callable[[], object] | None = None
 ) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Substring deduplication at byte level: repeated strings of ``length`` bytes, by ranks at growing offsets.
+"""Substring deduplication at byte level: repeated strings of ``length`` bytes, by two rounds of ranks over gathered positions.
 
 Suffix sorting by prefix doubling ranks every position by pairs of ranks at growing offsets and drops a position once
-its rank is unique. Here the positions are first gathered: the windows of ``length`` bytes that have the same anchor
+its rank is unique. This module keeps the dropping of unique ranks and the sort of pairs of ranks at two offsets, but
+not the doubling of offsets over all positions. Positions are first gathered instead: the windows of ``length`` bytes that have the same anchor
 (the q-gram of smallest hash in the window) form a run, about one for every ``length`` / 4 bytes. A run's rank is that
 of ``half`` bytes at its anchor, which all of its windows hold; its span's rank is that of all bytes of its windows.
 Runs of unique rank are dropped, runs of equal span are repeated whole. Only windows of runs with equal rank and
 different spans are looked at one by one: Spark sorts their pairs of ranks (of ``half`` bytes at the start and at the
 offset that completes the window) with their run's rank, and equal neighbours are repeated. Ranks are 64-bit hashes that
-any task computes from the text alone, so no round has to move ranks of all positions; two of them always have to agree.
+any task computes from the text alone, so no round has to move ranks of all positions. Runs and windows are equal only if
+both of their ranks are; among those of one run, which hold the same ``half`` bytes, the second decides.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, whole_text
+from .common import gathered, map_texts, materialise, small_batches, whole_text
 
 _BASE = 0x9E3779B97F4A7C15
 #: Window starts worked on at a time; longer texts go in pieces.
 _PIECE = 1 << 18
 #: Slots of the fixed-size bitmap (1 MB) that keeps most texts out of the joins.
 _SLOTS = 1 << 23
+#: Spans of one rank in a part of the windows' sort; ranks of more are sorted in parts first, then one window of each part.
+_PART_SPANS = 20_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -69,6 +73,10 @@ class Repeats:
     length: int = 400
     gram: int = 16
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.length or self.length - self.gram + 1 > 1023:
+            raise ValueError("a run must hold fewer than 1,024 windows, and a gram must fit into one")
+
     @property
     def half(self) -> int:
         """Bytes at an anchor, on one side or the other, that every window around it holds."""
@@ -110,27 +118,27 @@ class Repeats:
             return _mixed(hashed.of(at, at + self.half) * np.uint64(_BASE) + hashed.of(at + shift, at + self.length))
 
 
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn(
-        "key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    )
+    """doc_id, text, key: 128 bits that stand for a row's id and whole text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text"))
+    return rows.withColumn("key", F.unhex(F.md5(named.cast("binary"))))
 
 
 def _records(keyed: DataFrame, how: Repeats) -> DataFrame:
     """rank, span, key, at (first window start * 1024 + windows): every run of every text."""
+    small_batches(keyed.sparkSession)
 
-    def run(rows: list[tuple]) -> Iterator[tuple]:
-        for text, key in rows:
-            raw = text.encode()
-            for piece in range(0, len(raw) - how.length + 1, _PIECE):
-                rank, span, lo, n = how.runs(raw[piece : piece + _PIECE + how.length - 1])
-                yield from zip(_signed(rank), _signed(span), [key] * len(rank), ((lo + piece) * 1024 + n).tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, key in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py().encode()
+                for piece in range(0, len(raw) - how.length + 1, _PIECE):
+                    rank, span, lo, n = how.runs(raw[piece : piece + _PIECE + how.length - 1])
+                    columns = [rank.view(np.int64), span.view(np.int64), pa.repeat(key, len(rank)), (lo + piece) * 1024 + n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "span", "key", "at"])
 
-    return map_texts(keyed.select("text", "key"), run, "rank long, span long, key long, at long")
+    return keyed.select("text", "key").mapInArrow(gathered(run), "rank long, span long, key binary, at long")
 
 
 def _flagged(keyed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def _flagged(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
     The keys become a bitmap of fixed size, so what is broadcast doesn't grow with the data.
     """
-    slot = F.pmod(F.col("key"), F.lit(_SLOTS)) + 1
+    slot = F.pmod(F.xxhash64("key"), F.lit(_SLOTS)) + 1
     bits = keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
     bits = materialise(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
     position = F.bitmap_bit_position(slot)
@@ -147,25 +155,56 @@ def _flagged(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.withColumn("flag", F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
 
 
-def _equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (rank, run, ref) sorted by rank and run: refs of equal neighbours whose low bit, 'known', isn't set."""
-    held = np.zeros((3, 0), np.int64)  # the row held back
-    tied = False  # whether it equals the one before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-        same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
-        hit = np.append(tied, same)[:-1] | same  # of all rows but the last
-        found = rows[2, :-1][hit & (rows[2, :-1] & 1 == 0)]
-        tied = bool(same[-1]) if len(same) else tied
-        held = rows[:, -1:]
-        yield pa.RecordBatch.from_arrays([pa.array(found >> 1, pa.int64())], ["ref"])
-    if tied and not held[2, 0] & 1:
-        yield pa.RecordBatch.from_arrays([pa.array(held[2] >> 1, pa.int64())], ["ref"])
-
-
-def repeated_windows(keyed: DataFrame, how: Repeats = Repeats()) -> DataFrame:
+def _neighbours(parts: bool):
+    """Arrow function over rows (rank, run, ref) sorted by rank and run: refs of rows that have an equal one, but for those
+    whose low bit, 'known', is set. With ``parts`` also one row of each group that is to be compared with other parts',
+    known if its group has been told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), np.int64)  # the last row, whose group may go on
+        tied, opened = False, True  # whether it equals the one before; whether its group has no representative yet
+
+        def told(rows: np.ndarray, hit: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            rank, run_, ref = (c[hit & (rows[2] & 1 == 0)] for c in rows)
+            again = np.zeros(len(ref), bool)
+            if parts:
+                rank, run_ = np.concatenate([rank, rows[0][first]]), np.concatenate([run_, rows[1][first]])
+                ref, again = np.concatenate([ref, rows[2][first] | hit[first]]), np.concatenate([again, np.ones(first.sum(), bool)])
+            return pa.RecordBatch.from_arrays([pa.array(rank), pa.array(run_), pa.array(ref), pa.array(again)], ["rank", "run", "ref", "again"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+            hit = np.append(tied if held.shape[1] else False, same)[:-1] | same
+            first = np.append(opened if held.shape[1] else True, ~same)
+            yield told(rows[:, :-1], hit, first[:-1])
+            tied, opened = bool(same[-1]) if len(same) else tied, bool(first[-1])
+            held = rows[:, -1:]
+        if held.shape[1]:
+            yield told(held, np.array([tied]), np.array([opened]))
+
+    return run
+
+
+def _repeated(pairs: DataFrame, hot: bool) -> DataFrame:
+    """ref: the windows (rank, run, ref, part) that occur more than once, but for known ones."""
+    schema = "rank long, run long, ref long, again boolean"
+
+    def sort(df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by).select("rank", "run", "ref")
+
+    if not hot:
+        return sort(pairs, "rank", "run").mapInArrow(_neighbours(False), schema).select("ref")
+    # Ranks of very many spans are sorted in parts, so that no task gets all windows that hold a frequent passage.
+    single = sort(pairs.where("part < 0"), "rank", "run").mapInArrow(_neighbours(False), schema).select("ref")
+    of_parts = materialise(sort(pairs.where("part >= 0"), "part", "rank", "run").mapInArrow(_neighbours(True), schema))
+    met = sort(of_parts.where("again"), "rank", "run").mapInArrow(_neighbours(False), schema).select("ref")
+    return single.union(of_parts.where("not again").select("ref")).union(met)
+
+
+def repeated_windows(keyed: DataFrame, how: Repeats = Repeats(), part_spans: int = _PART_SPANS) -> DataFrame:
     """key, at (first start * 1024 + windows): windows of ``how.length`` bytes that also start elsewhere."""
     records = _records(keyed, how)
     groups = records.groupBy("rank", "span").agg(F.min(F.struct("key", "at")).alias("one"), F.count(F.lit(1)).alias("copies"))
@@ -174,21 +213,25 @@ def repeated_windows(keyed: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     told = materialise(told.select("rank", "span", "one", "copies", "spans", F.monotonically_increasing_id().alias("id")))
     whole = records.join(told.where("copies > 1").select("rank", "span"), ["rank", "span"], "left_semi").select("key", "at")
 
-    asked = told.where("spans > 1").select("id", F.col("rank").alias("run"), F.col("one.key").alias("key"), F.col("one.at").alias("at"), (F.col("copies") > 1).cast("int").alias("known"))
-    of_key = asked.groupBy("key").agg(F.collect_list(F.struct("id", "run", "at", "known")).alias("asked"))
+    part = F.when(F.col("spans") > part_spans, F.pmod(F.xxhash64("id"), F.ceil(F.col("spans") / part_spans))).otherwise(-1).cast("int").alias("part")
+    known = (F.col("copies") > 1).cast("int").alias("known")
+    asked = told.where("spans > 1").select("id", F.col("rank").alias("run"), F.col("one.key").alias("key"), F.col("one.at").alias("at"), known, part)
+    hot = bool(asked.where("part >= 0").take(1))
+    of_key = asked.groupBy("key").agg(F.collect_list(F.struct("id", "run", "at", "known", "part")).alias("asked"))
     texts = _flagged(keyed, asked.select("key")).where("flag").dropDuplicates(["key"]).select("key", "text")
 
-    def run(rows: list[tuple]) -> Iterator[tuple]:
-        for text, spans in rows:
-            raw = text.encode()
-            for s in spans:
-                start, n = divmod(s["at"], 1024)
-                refs = ((s["id"] * 1024 + np.arange(n)) * 2 + s["known"]).tolist()
-                yield from zip(_signed(how.windows(raw, start, n)), [s["run"]] * n, refs)
-
-    pairs = map_texts(texts.join(of_key, "key").select("text", "asked"), run, "rank long, run long, ref long")
-    hits = pairs.repartition("rank").sortWithinPartitions("rank", "run").mapInArrow(_equal_neighbours, "ref long")
-    hits = hits.select(F.shiftright("ref", 10).alias("id"), (F.col("ref") % 1024).alias("offset"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, spans in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py().encode()
+                for s in spans.as_py():
+                    start, n = divmod(s["at"], 1024)
+                    ref = (s["id"] * 1024 + np.arange(n)) * 2 + s["known"]
+                    columns = [how.windows(raw, start, n).view(np.int64), np.full(n, s["run"]), ref, np.full(n, s["part"], np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "run", "ref", "part"])
+
+    pairs = texts.join(of_key, "key").select("text", "asked").mapInArrow(gathered(run), "rank long, run long, ref long, part int")
+    hits = _repeated(pairs, hot).select(F.shiftright("ref", 11).alias("id"), (F.shiftright("ref", 1) % 1024).alias("offset"))
     single = hits.join(asked.select("id", "key", "at"), "id").select("key", ((F.shiftright("at", 10) + F.col("offset")) * 1024 + 1).alias("at"))
     return whole.union(single)
 

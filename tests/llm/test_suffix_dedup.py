@@ -51,3 +51,23 @@ def test_edges(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "x", "y", "z") for i, t in rows], SCHEMA).repartition(3)
     check(df, rows, Repeats())
     assert suffix_dedup_digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_passage_in_many_contexts(spark, monkeypatch):
+    """A passage of one rank in more spans than a part holds, some of them copies, and lone windows beside it."""
+    rnd = random.Random(6)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(55))
+    rows = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randrange(60))) + passage[: 55 - i % 3] + "".join(rnd.choice("uvw") for _ in range(rnd.randrange(60)))) for i in range(80)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    how = Repeats(length=40, gram=6)
+    from foliant.llm import suffix_dedup
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda keyed, how: plain(keyed, how, 7))
+    check(df, rows, how)
+
+
+def test_too_long_for_runs():
+    with pytest.raises(ValueError, match="1,024"):
+        Repeats(length=3000)
