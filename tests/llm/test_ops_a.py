@@ -174,17 +174,27 @@ def test_decontamination(spark, empty):
     ]
     df = spark.createDataFrame([(i, t, "en", "x", "y", "z") for i, t in docs], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (2_000_000, 5):
+    for most in (200_000, 4):
+        if most == 4:  # beyond the bound no window comes to the driver
+            assert decontamination._small(decontamination._items(bench, "item_id", "text"), 10, most) is None
         got = [tuple(r) for r in decontamination.contamination(df, bench, max_windows=most).collect()]
         assert sorted(got, key=str) == sorted(brute_contamination(docs, items), key=str)
     assert decontamination.contamination(empty, bench).count() == 0
     none = decontamination.contamination(df, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(docs)
-    assert sorted(r.text for r in decontamination.decontaminated(df, bench).where("text is not null").collect()) == [
-        "", "clean words only", "clean words only", "one two three four five six seven eight nine",
-    ]
-    cut = {r.doc_id: r.text for r in decontamination.decontaminated(df, bench, mode="span").collect()}
-    assert cut[1] == "x  y" and cut[3] is None and cut[2] == ""
+    for most in (200_000, 4):
+        left = decontamination.decontaminated(df, bench, max_windows=most)
+        assert left.columns == df.columns and sorted(r.text for r in left.where("text is not null").collect()) == [
+            "", "clean words only", "clean words only", "one two three four five six seven eight nine",
+        ]
+        cut = {r.doc_id: r.text for r in decontamination.decontaminated(df, bench, mode="span", max_windows=most).collect()}
+        assert cut[1] == "x  y" and cut[3] is None and cut[2] == "" and len(cut) == 7
+
+
+def test_decontamination_beyond_the_bound(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    assert want == sorted(map(tuple, decontamination.contamination(docs, bench, max_windows=10).collect())) and any(r[5] for r in want)
 
 
 def test_toxicity_held_out(spark):
@@ -200,6 +210,29 @@ def test_toxicity_held_out(spark):
     assert (clean.predicted == 0).mean() > 0.97
 
 
+def test_toxicity_score_equals_brute_force():
+    rnd = random.Random(8)
+    words = ["good", "fine", "schön", "плохой", "awful", "idiot", "день", "the", "and"]
+    texts = [" ".join(rnd.choice(words[:4] + words[6:] if i % 2 else words) for _ in range(30)) for i in range(60)]
+    toxic = [int("idiot" in t or "awful" in t) for t in texts]
+    sizes, bits = (2, 3), 12
+    model = toxicity.fit_texts(texts, toxic, sizes, bits, keep=300, rounds=60)
+
+    def place(gram):
+        h = 0
+        for n, c in enumerate(gram, start=1):
+            h = (h + ord(c)) * int(toxicity._FACTORS[n]) & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - bits)
+
+    for text in [*texts, "", "x", "ПЛОХОЙ День " * 500]:
+        padded = f" {text.lower()} "
+        seen = {place(padded[i : i + n]) for n in sizes for i in range(len(padded) - n + 1)}
+        total = model.bias + sum(float(model.weights[model.place[h]]) for h in seen if model.place[h] >= 0)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-5)
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in zip(texts, toxic)) >= 57
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(7, 1), (8, 0), (10, None), (None, 1), (4, 5)], "doc_id long, toxic int")
     model = toxicity.fit(edge, labels)
