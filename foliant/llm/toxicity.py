@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams of its lower-cased UTF-8 bytes, each present or not. Fitting takes a sample
+A text's features are the hashed n-grams of its lower-cased characters, each present or not. Fitting takes a sample
 of labelled rows of bounded size; scoring takes every whole text, in one pass without an exchange.
 """
 
@@ -51,7 +51,7 @@ class Toxicity:
 
 def hashed(text: str, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
     """The hashes (below 2**bits) of all n-grams of the lower-cased text between two spaces, size by size."""
-    raw = np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8).astype(np.uint32)
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype="<u4").astype(np.uint32)
     with np.errstate(over="ignore"):
         h = np.zeros(len(raw), dtype=np.uint32)
         for n in range(1, max(sizes) + 1):
@@ -120,7 +120,7 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limits: FitLimits = FitLimits()) -> Toxicity:
     """Fit on at most ``limits`` labelled rows, those whose id's hash is lowest; rows of ``held_out`` ids never count.
 
-    Labels other than 0 and 1, null ids and null texts are left out. The sample, at most
+    Labels other than 0 and 1, null ids and null texts are left out; ties of the hash are broken by id and text. The sample, at most
     (positives + negatives) x row_bytes, is all that reaches the driver; the rest of the labels isn't moved.
     """
     picked = []
@@ -139,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, held_out, score, predicted: one row per row of ``docs``.
 
-    Null texts score as empty ones do: the bias alone decides. Null ids have a null ``held_out``. Repeated rows
-    repeat. Other columns, lang and source among them, are not read. Empty table: empty result.
+    Null texts score as empty ones do: the bias alone decides. Null ids have a null ``held_out``. Texts of any length
+    are scored whole; repeated rows repeat. Other columns, lang and source among them, are not read. Empty table: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
@@ -155,7 +155,7 @@ def toxicity_scores(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", te
 
 
 def without_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below 0.5, with all their columns."""
+    """The rows of ``docs`` whose score is below 0.5, with all their columns; cases as in ``toxicity_scores``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     clean = F.udf(lambda text: shared.value.score(text or "") < 0.5, "boolean", useArrow=True)
