@@ -181,7 +181,7 @@ def _codec(tokens: list[bytes], ids: list[int], pattern: str) -> Codec:
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, ids (array<long>), decoded (binary): one row per row of ``docs``; null texts count as empty."""
+    """Return doc_id, ids (array<long>), decoded (binary): one row per row of ``docs``; cases as in ``bpe_digests``."""
     shared = docs.sparkSession.sparkContext.broadcast(Codec.from_file(path))
 
     def run(rows: list[tuple], codec: Codec) -> Iterator[tuple]:

@@ -64,7 +64,7 @@ def merged_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
     """Return doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
-    Null texts count as empty and form a group with the empty ones. A null id is larger than any other, so it is
+    Null texts count as empty and form a group with the empty ones; texts of any length count whole. A null id is larger than any other, so it is
     kept only where its group has no other id. Repeated rows (same id, equal text) are one document: all of them
     carry ``kept``. An empty table gives an empty result; other columns, whatever their names, are not read.
     """

@@ -25,18 +25,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_TERM = r"[\p{L}\p{N}]{3,}"
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """support: documents in which entity and term must meet; generalise, remove: shares of the entity's information;
-    broadcast_terms: above it, term counts are joined by key."""
+    broadcast_terms: above it, term counts are joined by key; least: characters of a term, as shorter ones name nobody."""
 
     support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
     broadcast_terms: int = 200_000
+    least: int = 3
 
 
 def _digits(value: Column) -> Column:
@@ -118,9 +118,9 @@ def _holders(found: DataFrame) -> DataFrame:
     return found.select("row", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
 
 
-def _terms(text: Column) -> Column:
-    """The distinct terms of a whole text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+def _terms(text: Column, least: int) -> Column:
+    """The distinct terms of a whole text: runs of letters and digits, of ``least`` characters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]{{{least},}}+"), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, how: Disclosure) -> tuple[DataFrame, DataFrame]:
@@ -136,9 +136,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, how: Disc
     most = F.lit(total) * F.pow(F.col("n_c") / F.lit(max(total, 1.0)), F.lit(how.generalise)) * (1 + 1e-9)
     holders = materialise(holders.join(n_c.withColumn("most", most), "entity"))
     limit = holders.agg(F.max("most")).first()[0] or 0.0
-    standing = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    standing = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"), how.least)).alias("term"))
     terms = materialise(standing.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(how.support, limit)).select("term"))
-    words = docs.select(F.explode(_terms(whole_text(text_col))).alias("term"))
+    words = docs.select(F.explode(_terms(whole_text(text_col), how.least)).alias("term"))
     if terms.count() <= how.broadcast_terms:
         words = words.join(F.broadcast(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(how.support, limit))

@@ -191,7 +191,8 @@ def simhash_groups(
 ) -> DataFrame:
     """Return doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable): one row per row of ``docs``.
 
-    Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any other. Repeated rows
+    Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any other; texts of any length
+    count whole. Repeated rows
     and texts share a fingerprint and so a component. Null ids get a component but never name one unless all its ids
     are null. An empty table gives an empty result; other columns are not read.
     """
