@@ -145,5 +145,5 @@ def with_images(sections: DataFrame, figs: DataFrame) -> DataFrame:
 
 
 def write_images(figs: DataFrame, path: str) -> None:
-    """One row per distinct stored image, partitioned by book, as Parquet: path and bytes."""
-    figs.dropDuplicates(["book_id", "path"]).select("book_id", "path", "sha256", "bytes").write.mode("overwrite").partitionBy("book_id").parquet(path)
+    """One row per distinct stored image as Parquet: book_id, path, sha256 and bytes, in a few large files."""
+    figs.dropDuplicates(["book_id", "path"]).select("book_id", "path", "sha256", "bytes").write.mode("overwrite").parquet(path)

@@ -131,7 +131,7 @@ IMAGES = (
 FILES = {"i/1.png": PNG + b"1", "i/copy.png": PNG + b"1", "i/ok.svg": SVG, "i/bad.svg": b'<!DOCTYPE svg><svg/>', "i/sp ace.png": PNG + b"2"}
 
 
-def test_figures(spark):
+def test_figures(spark, tmp_path):
     tables = epub.book_tables(spark.createDataFrame([("b", make(images=IMAGES, files=FILES))], "path string, content binary"))
     made = books.extract(tables)
     refs = figures.with_bytes(figures.references(tables["chapter_html"], made.sections), tables["images"])
@@ -145,6 +145,9 @@ def test_figures(spark):
     last = json.loads(kept.structured_json)["annotations"][-1]
     assert last["type"] == "image" and last["start"] == last["end"] == len(kept.text) and last["imagePath"] == figs[-1].path
     assert figures.anchor_paths(figures.figures(refs)).count() == 5
+    figures.write_images(figures.figures(refs), str(tmp_path / "images"))
+    stored = {r.path: bytes(r.bytes) for r in spark.read.parquet(str(tmp_path / "images")).collect()}
+    assert len(stored) == 4 and stored[figs[0].path] == PNG + b"1"
 
 
 def test_media():
