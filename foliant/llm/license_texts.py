@@ -1,9 +1,11 @@
-"""Wording of licenses and of the standard headers that put a file under one, by SPDX identifier.
+"""Wording of licenses, of the standard headers that put a file under one, and of notices, by SPDX identifier.
 
 Short licenses stand here whole, without list numbers and names; long ones by their header and by the title and opening
-of their text. Fixed values.
+of their text, and whole in the folder ``wording``. Fixed values.
 """
 
+from importlib import resources
+
 _ASIS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
@@ -87,3 +89,47 @@ TEXTS: dict[str, tuple[str, ...]] = {
         "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 }
+
+_WORKS = ("This work is licensed under the {}", "Licensed under the {}", "Released under the {}")
+_CC = ("This work is licensed under a Creative Commons {long} {version} International License", "Licensed under CC {short} {version}", "This work is licensed under CC {short} {version}")
+
+
+def _works(*names: str) -> tuple[str, ...]:
+    return tuple(w.format(name) for name in names for w in _WORKS)
+
+
+def _cc(short: str, long: str, version: str = "4.0") -> tuple[str, ...]:
+    return tuple(w.format(short=short, long=long, version=version) for w in _CC)
+
+
+def _gnu_works(kind: str, version: str) -> tuple[str, ...]:
+    return _works(f"GNU {kind}General Public License, version {version}", f"GNU {kind}General Public License v{version}")
+
+
+NOTICES: dict[str, tuple[str, ...]] = {
+    "MIT": _works("MIT License"),
+    "Apache-2.0": _works("Apache License, Version 2.0"),
+    "GPL-2.0": _gnu_works("", "2"),
+    "GPL-3.0": _gnu_works("", "3"),
+    "LGPL-2.1": _gnu_works("Lesser ", "2.1"),
+    "LGPL-3.0": _gnu_works("Lesser ", "3"),
+    "AGPL-3.0": _gnu_works("Affero ", "3"),
+    "BSD-2-Clause": _works("BSD 2-Clause License"),
+    "BSD-3-Clause": _works("BSD 3-Clause License"),
+    "MPL-2.0": _works("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright", "Licensed under CC0 1.0 Universal"),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
+    "Proprietary": ("All rights reserved", "All rights reserved. No part of this work may be reproduced without permission"),
+}
+
+
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """Long licenses, word for word; read where the plan is made."""
+    folder = resources.files(__package__) / "wording"
+    return {f.name.removesuffix(".txt"): (f.read_text(encoding="utf-8"),) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}

@@ -1,175 +1,192 @@
 """License scans by conditional compression.
 
-Blocks of lines that look like license wording are compressed with each template as a zstandard raw dictionary; the
-template that saves most against compression without it is the candidate, and exact wording differences confirm it.
-License texts and headers are looked for first, in windows that hold a whole one, whatever their lines and comment marks;
-then notices of a line; SPDX tags name their licenses themselves.
+A text's words are laid out in windows, for each template of a width that holds any place where the template can stand.
+Each window is compressed with the template as a zstandard raw dictionary; templates are ranked by what they save against
+compression without one, and the winners are confirmed by the exact differences of wording. Windows cover whole texts,
+whatever their lines and comment marks. A window is left uncompressed only if it provably can't be confirmed: if it has no
+three words in a row of the template, or fewer of the template's words than the least share needs. SPDX tags name their
+licenses themselves.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
+from itertools import repeat
+from math import ceil
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, whole_text
-from .license_texts import TEXTS
-
-#: Notices by which works are put under a license, with the license's SPDX identifier.
-TEMPLATES = {
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. you may not use this file except in compliance with the License.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright. Licensed under CC0 1.0 Universal.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Proprietary": "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
-}
-
-#: What a line must hold to be scanned.
-_HINT = re.compile(r"licen[sc]|copyright|all rights reserved|public domain|creative commons|\bCC[ -]?(?:BY|0)|redistribution and use|permission is hereby|permission to use, copy", re.I)
+from .license_texts import NOTICES, TEXTS, whole_texts
+
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-#: Words that tell licenses apart: a difference in one of them rejects a template.
-_TELLING = re.compile(r"[0-9.]+\Z|(?:MIT|Apache|GNU|General|Lesser|Affero|BSD|Mozilla|CC|CC0|Unlicense)\Z|BY(?:-|\Z)|.*-Clause\Z|v\Z|proprietary\Z", re.I)
+#: Words that tell notices apart: a difference in one of them rejects a template.
+_TELLING = re.compile(r"v?[0-9.]+\Z|(?:MIT|Apache|GNU|General|Lesser|Affero|BSD|Mozilla|CC|CC0|Unlicense)\Z|(?:BY|Attribution)(?:-|\Z)|.*-Clause\Z|proprietary\Z", re.I)
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*\Z")
-#: Comment marks and list numbers at the start of a line.
-_MARKS = re.compile(r"^[ \t]*(?:[/*#;%!>|.\"'-]+[ \t]*|(?:dnl|REM|--)[ \t]+)*(?:\(?[0-9A-Za-z]{1,2}[.)][ \t]+)?", re.M)
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
-#: Characters that a window of text has before and after a hint: more than a whole text, and steps between hints.
-_BEFORE, _AFTER, _STEP = 600, 3600, 400
+#: Words in a row that a confirmed place shares with its template at the least.
+_FIRM = 3
+#: Words up to which a template is a notice, and beyond which it is a whole text that its title and opening tell apart.
+_NOTICE, _LONG, _OPENING = 25, 400, 40
+#: Characters between a license's title or copyright line and its text, at the most.
+_NEAR = 200
+
+Found = tuple[str, int, int, float, str]
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """Notices, headers, short licenses and whole license texts, by SPDX identifier."""
+    kinds = (NOTICES, TEXTS, whole_texts())
+    return {name: sum((k.get(name, ()) for k in kinds), ()) for name in dict.fromkeys(n for k in kinds for n in k)}
+
+
+def _codes(ids: np.ndarray, base: int) -> np.ndarray:
+    """A number for each three words in a row; 0 where one of them is in no template."""
+    a, b, c = ids[:-2], ids[1:-1], ids[2:]
+    return np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, 0)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``known``."""
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _packer(**given: object) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **given)
+
+
+class _Template:
+    """One wording of a license, with what scanning for it needs."""
+
+    def __init__(self, name: str, text: str, least: float):
+        self.name, self.words = name, [w.lower() for w in _WORD.findall(text)]
+        self.raw = " ".join(self.words).encode()
+        n = len(self.words)
+        #: By the least share, a place has this many words in common at the least and spans so many at the most.
+        self.common, self.step, self.width = ceil(n * least / (2 - least) - 1e-9), n, n + ceil(n * (2 / least - 1))
+        self.telling = {w for w in self.words if _TELLING.match(w)}
+
+    def numbered(self, vocabulary: dict[str, int]) -> None:
+        ids = np.array([vocabulary[w] for w in self.words], dtype=np.int64)
+        self.ids, self.counts = np.unique(ids, return_counts=True)
+        self.codes = np.unique(_codes(ids, len(vocabulary) + 1))
+
+    @cached_property
+    def packer(self) -> zstandard.ZstdCompressor:
+        return _packer(dict_data=zstandard.ZstdCompressionDict(self.raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def windows(self, hits: np.ndarray, n: int) -> list[int]:
+        """Starts of the windows that hold one of the hits whole, in a text of ``n`` words."""
+        last = hits // self.step
+        first = np.maximum(0, -((self.width - _FIRM - hits) // self.step))
+        out: set[int] = set()
+        for a, b in set(zip(first.tolist(), last.tolist())):
+            out.update(range(a, b + 1))
+        return [k * self.step for k in sorted(out) if k * self.step < n]
 
 
 class Scanner:
-    """Compressors, one a template, made once a task."""
-
-    def __init__(self, templates: dict[str, str] = TEMPLATES, level: int = 3, texts: dict[str, tuple[str, ...]] = TEXTS):
-        self.templates = {name: (text, _words(text)) for name, text in templates.items()}
-        self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.given = {
-            name: zstandard.ZstdCompressor(
-                level=level,
-                dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                write_content_size=False,
-                write_checksum=False,
-                write_dict_id=False,
-            )
-            for name, text in templates.items()
-        }
-        self.texts = []
-        for name, variants in texts.items():
-            for text in variants:
-                words = [w.lower() for w in _words(text)]
-                raw = " ".join(words).encode()
-                given = zstandard.ZstdCompressor(
-                    level=level,
-                    dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                    write_content_size=False,
-                    write_checksum=False,
-                    write_dict_id=False,
-                )
-                self.texts.append((name, words, len(self.plain.compress(raw)), given))
-
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the block's compressed size that they save, the best first."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def confirmed(self, block: str, name: str, least: float = 0.8) -> tuple[float, str] | None:
-        """(share of the block's or the template's words in common, differing words) if the wording bears the template out."""
-        ours, theirs = _words(block), self.templates[name][1]
-        same, missing, added = 0, [], []
-        for op, a, b, c, d in SequenceMatcher(None, [w.lower() for w in theirs], [w.lower() for w in ours], autojunk=False).get_opcodes():
-            if op == "equal":
-                same += b - a
+    """Templates, their numbered words and compressors, made once a task."""
+
+    def __init__(self, templates: dict[str, tuple[str, ...]] | None = None, least: float = 0.8, gain: float = 0.4):
+        self.least, self.gain, self.plain = least, gain, _packer()
+        given = all_templates() if templates is None else templates
+        self.templates = [_Template(name, text, least) for name, texts in given.items() for text in texts]
+        if any(len(t.words) < _FIRM for t in self.templates):
+            raise ValueError(f"a template has {_FIRM} words at the least")
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.templates for w in t.words}), 1)}
+        for t in self.templates:
+            t.numbered(self.vocabulary)
+            t.own = len(self.plain.compress(t.raw))
+        self.codes = np.unique(np.concatenate([t.codes for t in self.templates])) if self.templates else np.zeros(0, np.int64)
+
+    def scan(self, text: str, every: bool = False) -> list[Found]:
+        """(license, start, end, share, differences) for each place of the text that a template explains.
+
+        With ``every``, all windows are compressed with all templates; the result is the same.
+        """
+        out = [found for m in _SPDX.finditer(text) for found in _tagged(m)]
+        taken = sorted({f[1:3] for f in out})  # disjoint, so their ends are in order too
+        for found in self.places(text, every):
+            at = bisect_left(taken, found[1:3])
+            if (at == 0 or taken[at - 1][1] <= found[1]) and (at == len(taken) or found[2] <= taken[at][0]):
+                taken.insert(at, found[1:3])
+                out.append(found)
+        out.sort(key=lambda f: (f[1], f[2], f[0]))
+        starts = [f[1] for f in out]
+        followers = ((f, out[bisect_left(starts, f[2]) : bisect_right(starts, f[2] + _NEAR)]) for f in out)
+        return [f for f, after in followers if not any(_heads(f, o) for o in after)]
+
+    def places(self, text: str, every: bool) -> list[Found]:
+        """Confirmed places, those of the greatest savings first."""
+        words = _WORD.findall(text)
+        if len(words) < _FIRM:
+            return []
+        lower = " ".join(words).lower().split(" ")
+        ids = np.fromiter(map(self.vocabulary.get, lower, repeat(0)), dtype=np.int64, count=len(lower))
+        codes = _codes(ids, len(self.vocabulary) + 1)
+        some = np.flatnonzero(codes)
+        hits = some[_among(codes[some], self.codes)]
+        if not every and not len(hits):
+            return []
+        of_text = np.bincount(ids, minlength=len(self.vocabulary) + 1)
+        found = []
+        for t in self.templates:
+            if every:
+                starts = list(range(0, len(words), t.step))
+            elif np.minimum(of_text[t.ids], t.counts).sum() < t.common:
+                continue
             else:
-                missing += theirs[a:b]
-                added += ours[c:d]
-        share = max(same / max(1, len(theirs)), same / max(1, len(ours)))
-        told = {w.lower() for w in theirs if _TELLING.match(w)}
-        held = {w.lower() for w in ours}
-        wrong = any(_TELLING.match(w) and w.lower() not in told for w in added)
-        if share < least or not told <= held | ({"v"} if "v" in told else set()) or wrong:
-            return None
-        return share, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+                starts = t.windows(hits[_among(codes[hits], t.codes)], len(words))
+            for start in starts:
+                if every or np.minimum(np.bincount(ids[start : start + t.width], minlength=len(of_text))[t.ids], t.counts).sum() >= t.common:
+                    if got := self.confirmed(t, lower[start : start + t.width]):
+                        saved, first, last, same, share, differences = got
+                        found.append((-saved, -same * share, t.name, start + first, start + last, share, differences))
+        if not found:
+            return []
+        spots = [m.span() for m in _WORD.finditer(text)]
+        return [(name, spots[first][0], spots[last - 1][1], share, differences) for _, _, name, first, last, share, differences in sorted(found)]
 
-    def aligned(self, words: list[str], theirs: list[str], least: float = 0.8) -> tuple[int, int, int, float, str] | None:
-        """(first word, last word, words in common, share, differing words) of the place where the wording stands."""
-        codes = SequenceMatcher(None, theirs, words, autojunk=False).get_opcodes()
-        firm = [i for i, (op, a, b, _, _) in enumerate(codes) if op == "equal" and b - a >= 3]
-        if not firm:
+    def confirmed(self, t: _Template, words: list[str]) -> tuple[int, int, int, int, float, str] | None:
+        """(bytes saved, first word, last word, words in common, share, differing words) if compression with the template
+        saves enough of the window or of the template, and the wording bears it out."""
+        raw = " ".join(words).encode()
+        alone = len(self.plain.compress(raw))
+        saved = alone - len(t.packer.compress(raw))
+        if saved < self.gain * min(alone, t.own):
             return None
-        codes = codes[firm[0] : firm[-1] + 1]
-        first, last = codes[0][3], codes[-1][4]
-        same = sum(b - a for op, a, b, _, _ in codes if op == "equal")
-        share = 2 * same / (len(theirs) + last - first)
-        missing = theirs[: codes[0][1]] + [w for op, a, b, _, _ in codes if op != "equal" for w in theirs[a:b]] + theirs[codes[-1][2] :]
-        added = [w for op, _, _, c, d in codes if op != "equal" for w in words[c:d]]
-        wrong = _kinds(theirs) != _kinds(words[first:last])
-        if share < least or wrong:
+        codes = SequenceMatcher(None, t.words, words, autojunk=False).get_opcodes()
+        firm = [i for i, (op, a, b, _, _) in enumerate(codes) if op == "equal" and b - a >= _FIRM]
+        before = np.cumsum([0] + [b - a if op == "equal" else 0 for op, a, b, _, _ in codes])
+        best = max(
+            ((2 * int(before[j + 1] - before[i]) / (len(t.words) + codes[j][4] - codes[i][3]), j - i, -i, i, j) for x, i in enumerate(firm) for j in firm[x:]),
+            default=None,
+        )
+        if best is None or best[0] < self.least:
             return None
-        return first, last, same, share, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
-
-    def whole(self, text: str, gain: float = 0.4) -> list[tuple[str, int, int, float, str]]:
-        """(license, start, end, share, differences) for each license text or header, by windows about the hints."""
-        out: list[tuple[str, int, int, float, str]] = []
-        done, seen = 0, -_STEP
-        for hint in _HINT.finditer(text):
-            if hint.start() < max(done, seen + _STEP):
-                continue
-            seen = hint.start()
-            at = max(done, seen - _BEFORE)
-            shown = _MARKS.sub(lambda m: " " * len(m[0]), text[at : seen + _AFTER])
-            places = list(_WORD.finditer(shown))
-            words = [m[0].lower() for m in places]
-            raw = " ".join(words).encode()
-            alone = len(self.plain.compress(raw))
-            found = []
-            for name, theirs, own, given in self.texts:
-                if alone - len(given.compress(raw)) >= gain * min(alone, own) and (got := self.aligned(words, theirs)):
-                    first, last, same, share, differences = got
-                    found.append((-same * share, name, at + places[first].start(), at + places[last - 1].end(), share, differences))
-            for _, *one in sorted(found):
-                if all(one[2] <= o[1] or o[2] <= one[1] for o in out):
-                    out.append(tuple(one))
-                    done = max(done, one[2])
-        return out
-
-    def scan(self, text: str, gain: float = 0.15) -> list[tuple[str, int, int, float, str]]:
-        """(license, start, end, share, differences) for each block of the text that a template explains."""
-        if not _HINT.search(text):
-            return []
-        out = [found for m in _SPDX.finditer(text) for found in _tagged(m)]
-        out += (f for f in self.whole(text) if all(f[2] <= o[1] or o[2] <= f[1] for o in out))
-        known = sorted(out, key=lambda f: f[1])
-        out += (f for f in self.lines(text, gain) if not any(_covers(o, f) for o in known))
-        return sorted(out, key=lambda f: (f[1], f[2], f[0]))
-
-    def lines(self, text: str, gain: float) -> list[tuple[str, int, int, float, str]]:
-        """(license, start, end, share, differences) for each notice of a line or a few."""
-        out = []
-        for start, end in _blocks(text):
-            block = text[start:end]
-            for saved, name in self.ranked(block):
-                if saved < gain:
-                    break
-                if got := self.confirmed(block, name):
-                    out.append((name, start, end, *got))
-                    break
-        return out
+        share, (i, j) = best[0], best[3:]
+        first, last, kept = codes[i][3], codes[j][4], codes[i : j + 1]
+        missing = t.words[: codes[i][1]] + [w for op, a, b, _, _ in kept if op != "equal" for w in t.words[a:b]] + t.words[codes[j][2] :]
+        added = [w for op, _, _, c, d in kept if op != "equal" for w in words[c:d]]
+        if self.wrong(t, words[first:last], missing, added):
+            return None
+        return saved, first, last, int(before[j + 1] - before[i]), share, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+
+    def wrong(self, t: _Template, words: list[str], missing: list[str], added: list[str]) -> bool:
+        """Whether the differences are such as make another license of it."""
+        if len(t.words) > _LONG:
+            return bool(_kinds(words[:_OPENING]) - _kinds(t.words[: 2 * _OPENING]))
+        notice = len(t.words) <= _NOTICE and any(_TELLING.match(w) for w in missing + added)
+        return notice or _kinds(t.words) != _kinds(words)
 
 
 def _kinds(words: list[str]) -> set[str]:
@@ -178,7 +195,7 @@ def _kinds(words: list[str]) -> set[str]:
     return {a for a, b in pairs if b == "general"} | {b for a, b in pairs if a in ("version", "v") and _NUMBER.match(b)}
 
 
-def _tagged(m: re.Match) -> Iterator[tuple[str, int, int, float, str]]:
+def _tagged(m: re.Match) -> Iterator[Found]:
     """The licenses of an SPDX tag, exceptions left out, each once; 'or later' and 'only' count as the version itself."""
     names = re.findall(r"(?<![\w.+-])(?<!WITH )(?!(?:AND|OR|WITH)\b)[A-Za-z0-9][A-Za-z0-9.+-]*", m[1].split("  ")[0])
     operators = re.findall(r"\b(?:AND|OR|WITH)\b", m[1])
@@ -187,54 +204,20 @@ def _tagged(m: re.Match) -> Iterator[tuple[str, int, int, float, str]]:
         yield name, m.start(), m.start() + len(m[0].rstrip()), 1.0, ""
 
 
-def _covers(text: tuple, notice: tuple, near: int = 200) -> bool:
-    """The notice stands in the text's place, or is its title or copyright line."""
-    inside = notice[1] < text[2] and text[1] < notice[2]
-    return inside or (notice[0] in (text[0], "Proprietary") and 0 <= text[1] - notice[2] <= near)
+def _heads(notice: Found, text: Found) -> bool:
+    """The notice is the title or the copyright line of the license text that follows it."""
+    return notice[0] in (text[0], "Proprietary") and notice[2] - notice[1] < text[2] - text[1]
 
 
-def _words(text: str) -> list[str]:
-    return _WORD.findall(text)
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Return doc_id, license, start, end, share, differences: one row per place found, in one pass without an exchange.
 
-
-def _blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Lines with a hint; neighbouring ones join, and longer lines are cut to the sentences with a hint."""
-    begun = None
-    for start, end in _sentences(text):
-        if _HINT.search(text, start, end):
-            if begun and begun[1] >= start - 1 and end - begun[0] <= 600:
-                begun = (begun[0], end)
-            else:
-                if begun:
-                    yield begun
-                begun = (start, end)
-    if begun:
-        yield begun
-
-
-def _sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Lines, or the sentences of lines over 300 characters, that may hold a hint."""
-    seen = -1
-    for hint in _HINT.finditer(text):
-        if hint.start() < seen:
-            continue
-        start = text.rfind("\n", 0, hint.start()) + 1
-        end = text.find("\n", hint.end())
-        end = len(text) if end < 0 else end
-        if end - start > 300:
-            start = max(start, text.rfind(". ", start, hint.start()) + 2 if text.rfind(". ", start, hint.start()) >= 0 else start, hint.start() - 200)
-            stop = re.compile(r"\.(?= [A-ZÀ-Þ]|\s*\Z|\n)").search(text, hint.end(), end)
-            end = min(stop.end() if stop else end, hint.end() + 200, end)
-        seen = end
-        yield start, end
-
-
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Return doc_id, license, start, end, share, differences: one row per block found, in one pass without an exchange.
-
-    Offsets are in code points. Null and empty texts give no rows; repeated rows repeat theirs; very long texts are
-    searched whole, blocks being bounded. Null ids stay null. Empty table: empty result. Other columns are not read.
+    Offsets are in code points. Of overlapping places the one that saves most stays; of equal savings the one with most
+    words in common, then the first license by name, then the first place. Null and empty texts give no rows; repeated rows
+    repeat theirs; very long texts are searched whole. Null ids stay null. Empty table: empty result. Other columns are not
+    read. Without ``templates``, those of ``all_templates`` are taken.
     """
+    given = all_templates() if templates is None else templates
 
     def run(rows: list[tuple], scanner: Scanner) -> Iterator[tuple]:
         for doc_id, text in rows:
@@ -242,11 +225,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield doc_id, *found
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_texts(texts, run, "doc_id long, license string, start long, end long, share double, differences string", lambda: Scanner(templates))
+    return map_texts(texts, run, "doc_id long, license string, start long, end long, share double, differences string", lambda: Scanner(given))
 
 
-def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Return doc_id, n_blocks, licenses (sorted, comma-joined, '' if none), spans: one row per row of ``docs``."""
+def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Return doc_id, n_blocks, licenses (sorted, comma-joined, '' if none), spans: one row per row of ``docs``.
+
+    Cases as in ``license_scan``; rows without a license, null and empty texts among them, have 0 and empty strings.
+    """
+    given = all_templates() if templates is None else templates
 
     def run(rows: list[tuple], scanner: Scanner) -> Iterator[tuple]:
         for doc_id, text in rows:
@@ -254,4 +241,4 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield doc_id, len(found), ",".join(sorted({f[0] for f in found})), ",".join(f"{f[0]}:{f[1]}:{f[2]}" for f in found)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_texts(texts, run, "doc_id long, n_blocks long, licenses string, spans string", lambda: Scanner(templates))
+    return map_texts(texts, run, "doc_id long, n_blocks long, licenses string, spans string", lambda: Scanner(given))

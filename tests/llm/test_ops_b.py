@@ -183,17 +183,48 @@ def test_licenses(spark, edge, empty):
     texts = [
         "Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.",
         "This work is licensed under the GNU General Public License, version 3.", "licensed under the GNU General Public License, version 2.",
-        "Licensed under CC BY-SA 4.0.", "He has a driving license for lorries.", "x " * 3000 + "Licensed under CC BY 4.0. Then more." + " y" * 3000, None, "",
+        "Licensed under CC BY-SA 4.0.", "Licensed under the GNU General Public License v2", "He has a driving license for lorries.", "x " * 3000 + "Licensed under CC BY 4.0. Then more." + " y" * 3000, None, "",
         "Licensed under CC BY 4.0.\n" + "z\n" * 20 + "Released under the MIT License.",
     ]
-    want = ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "CC-BY-SA-4.0", "", "CC-BY-4.0", "", "", "CC-BY-4.0,MIT"]
+    texts += ["En.\nThis work is licensed under the GNU General Public License, version 3.\nEt.", "Licensed under the terms of the GNU Lesser General Public License version 4."]
+    want = ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "CC-BY-SA-4.0", "GPL-2.0", "", "CC-BY-4.0", "", "", "CC-BY-4.0,MIT", "GPL-3.0", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.licenses for r in licenses.license_report(df).orderBy("doc_id").collect()] == want
     spans = licenses.license_scan(df).where("doc_id = 0").collect()
-    assert [texts[0][r.start : r.end] for r in spans] == ["Licensed under CC BY-NC 4.0."]
+    assert [texts[0][r.start : r.end] for r in spans] == ["Licensed under CC BY-NC 4.0"]
     assert licenses.license_report(edge).count() == len(EDGE) and licenses.license_report(empty).count() == 0
 
 
+def test_whole_license_texts():
+    scanner = licenses.Scanner()
+    for name, (text,) in license_texts.whole_texts().items():
+        before = "int before;\n" * 50
+        found = scanner.scan(before + text + "\nint after;\n" * 50)
+        assert found and found[0][0] == name and found[0][3] > 0.99, (name, [f[:4] for f in found])
+        assert found[0][1] - len(before) < 80 and found[0][2] > len(before) + 0.99 * len(text.rstrip()), (name, found[0][:4])
+
+
+def test_licenses_against_brute_force():
+    """All windows compressed with all templates, no window left out."""
+    given = {k: v for k, v in licenses.all_templates().items() if k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "GPL-2.0", "GPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "Proprietary")}
+    scanner = licenses.Scanner(given)
+    rng = random.Random(3)
+    vocabulary = [w for vs in given.values() for v in vs[:3] for w in v.split()][:600] + ["of the", "license", "prose", "zaś"]
+    for case in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            wording = rng.choice([v for vs in given.values() for v in vs if len(v) < 4000]).split()
+            at = rng.randrange(len(wording)) if rng.random() < 0.3 else 0
+            kept = [rng.choice(vocabulary) if rng.random() < 0.06 else w for w in wording[at:] if rng.random() > 0.04]
+            parts += rng.choices(vocabulary, k=rng.randrange(60)) + kept
+        text = " ".join(parts)
+        assert scanner.scan(text) == scanner.scan(text, every=True), case
+        assert case or scanner.scan(text.replace(" ", "\n# ")) is not None
+    for text in ("", "x", "İ K ẞ", "All rights reserved", "all rights reserved " * 3):
+        assert scanner.scan(text) == scanner.scan(text, every=True)
+    assert len(scanner.scan("All rights reserved. " * 3)) == 3
+
+
 def brute_chunks(rows, how=chunk_dedup.Chunking()):
     gear = how.gear()
     parts = {}
