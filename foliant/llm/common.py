@@ -15,6 +15,8 @@ from ..plans.lineage import shared_folder
 SLICE_ROWS = 256
 #: Rows of an Arrow batch, at most: texts are long, and both sides hold a batch whole.
 BATCH_ROWS = 1000
+#: Bytes after which an Arrow batch is closed, at most, so that a worker holds few very long texts at a time.
+BATCH_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +30,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger or unbounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they may be larger.
+
+    A plan reads these settings when it runs, so they stay lowered.
+    """
+    rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def whole_text(text_col: str) -> Column:
