@@ -30,12 +30,13 @@ _IP_PARTS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 @dataclass(frozen=True)
 class Disclosure:
     """support: documents in which entity and term must meet; generalise, remove: shares of the entity's information;
-    broadcast_terms: above it, term counts are joined by key; least: characters of a term, as shorter ones name nobody."""
+    broadcast_terms, broadcast_bytes: above either, term counts are joined by key; least: characters of a term, as shorter ones name nobody."""
 
     support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
     broadcast_terms: int = 200_000
+    broadcast_bytes: int = 16 << 20
     least: int = 3
 
 
@@ -139,7 +140,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, how: Disc
     standing = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"), how.least)).alias("term"))
     terms = materialise(standing.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(how.support, limit)).select("term"))
     words = docs.select(F.explode(_terms(whole_text(text_col), how.least)).alias("term"))
-    if terms.count() <= how.broadcast_terms:
+    n_terms, size = terms.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
+    if n_terms <= how.broadcast_terms and (size or 0) <= how.broadcast_bytes:
         words = words.join(F.broadcast(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(how.support, limit))
     standing = materialise(standing.join(n_t, "term"))

@@ -94,6 +94,8 @@ def test_pii_disclosing_terms(spark):
     assert {(t.kind, t.value) for t in got[0].terms} == {("generalise", "Zebediah"), ("remove", "555")}
     assert got[0].sanitised == "words about [NAME] and , mail [EMAIL] please number 0"
     assert not got[90].terms and not got[12].terms and got[90].sanitised == rows[-1][1]
+    joined = pii.pii_spans(df, how=pii.Disclosure(broadcast_bytes=0)).collect()  # term counts by key instead
+    assert {r.doc_id: r for r in joined} == got
 
 
 def test_pii_discloses_over_whole_documents(spark):
