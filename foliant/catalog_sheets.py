@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .operators import edits, figures, pages
+from .plans.rows import spread
 
 COLUMNS = {"NAME": "p_name", "TYPE": "p_type", "BRAND": "p_brand"}
 
@@ -112,7 +113,8 @@ def _markup(text: str) -> str:
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_markup(SHEET)).alias("html"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", *COLUMNS.values()))
+    return parts.select("p_partkey", F.expr(_markup(SHEET)).alias("html"))
 
 
 def _json_ranges(names: list[str], at: dict[str, tuple[str, str]]) -> str:
@@ -221,12 +223,9 @@ def _section_rows() -> str:
 def sheet_ranges(spark, sf_dir):
     """Sections between fragments before cleaning: text, preserved ranges, and ranges of elements."""
     asked = F.array(*(F.struct(F.lit(f).cast("string").alias("fragment"), F.lit(n).cast("string").alias("following")) for f, n, *_ in _ASKED))
-    rows = sheets(spark, sf_dir).withColumn("asked", F.explode(asked)).select("p_partkey", "html", "asked.*", F.struct("p_partkey", "asked").alias("id"))
-    found = pages.extracted_sections(rows.withColumn("id", F.to_json("id")), "id", "html", "fragment", "following").where("error is null")
-    key = F.from_json("id", "struct<p_partkey:long,asked:struct<fragment:string,following:string>>")
+    found = pages.page_sections(sheets(spark, sf_dir).withColumn("asked", asked), "p_partkey", "html", "asked").where("error is null")
     return found.select(
-        key["p_partkey"].alias("p_partkey"), key["asked"]["fragment"].alias("fragment"), key["asked"]["following"].alias("following"), "text",
-        F.to_json("preserved").alias("preserved"), F.to_json("elements").alias("elements"), "start_node_id", "end_node_id",
+        "p_partkey", "fragment", "following", "text", F.to_json("preserved").alias("preserved"), F.to_json("elements").alias("elements"), "start_node_id", "end_node_id",
     )
 
 

@@ -120,29 +120,42 @@ def annotated_texts(texts: DataFrame, id_col: str, html_col: str, text_col: str)
     return map_rows(rows, kernel, f"{_typed(texts, id_col)}, text string, structured_json string")
 
 
+_RANGES = "array<struct<start:int,end:int>>"
+_EXTRACTED = f"text string, preserved {_RANGES}, elements array<struct<node_id:int,tag:string,ranges:{_RANGES}>>, start_node_id int, end_node_id int, error string"
+
+
+def _extracted(page: Page, fragment: str | None, following: str | None) -> tuple:
+    """A section's columns as in ``_EXTRACTED``; structs are tuples in the order of their fields."""
+    try:
+        got = page.extract(fragment, following)
+    except ValueError as e:
+        return None, None, None, None, None, str(e)
+    elements = [(n.index, n.tag, rs) for n, rs in sorted(got.elements.items(), key=lambda x: x[0].index)]
+    return from_units(got.text), got.preserved, elements, got.start and got.start.index, got.end and got.end.index, None
+
+
 def extracted_sections(pages: DataFrame, id_col: str, html_col: str, fragment_col: str, following_col: str) -> DataFrame:
     """The input's id with text, preserved and elements (tag, ranges) of a section before cleaning, and its error if
     ranges don't hold. Offsets are UTF-16 units."""
 
     def kernel(page_id, html, fragment, following):
-        try:
-            got = Page(units(html or "")).extract(fragment, following)
-        except ValueError as e:
-            yield page_id, None, None, None, None, None, str(e)
-            return
-
-        def struct(r):
-            return {"start": r[0], "end": r[1]}
-
-        elements = [{"node_id": n.index, "tag": n.tag, "ranges": [struct(r) for r in rs]} for n, rs in sorted(got.elements.items(), key=lambda x: x[0].index)]
-        yield (
-            page_id, from_units(got.text), [struct(r) for r in got.preserved], elements,
-            got.start and got.start.index, got.end and got.end.index, None,
-        )
-
-    ranges = "array<struct<start:int,end:int>>"
-    columns = f"text string, preserved {ranges}, elements array<struct<node_id:int,tag:string,ranges:{ranges}>>, start_node_id int, end_node_id int, error string"
-    return map_rows(pages.select(id_col, html_col, fragment_col, following_col), kernel, f"{_typed(pages, id_col)}, {columns}")
+        yield page_id, *_extracted(Page(units(html or "")), fragment, following)
+
+    return map_rows(pages.select(id_col, html_col, fragment_col, following_col), kernel, f"{_typed(pages, id_col)}, {_EXTRACTED}")
+
+
+def page_sections(pages: DataFrame, id_col: str, html_col: str, asked_col: str) -> DataFrame:
+    """``extracted_sections`` of pages with several sections each, parsed once for all of them; ``asked_col`` is an array
+    of structs of fragment and following, which the rows come with."""
+
+    def kernel(page_id, html, asked):
+        page = Page(units(html or "")) if asked else None
+        for each in asked or ():
+            yield page_id, each["fragment"], each["following"], *_extracted(page, each["fragment"], each["following"])
+
+    pair = "struct<fragment:string,following:string>"
+    rows = pages.select(id_col, html_col, F.col(asked_col).cast(f"array<{pair}>").alias("asked"))
+    return map_rows(rows, kernel, f"{_typed(pages, id_col)}, fragment string, following string, {_EXTRACTED}")
 
 
 def blocks(sections: DataFrame, *keys: str, json_col: str = "structured_json") -> DataFrame:

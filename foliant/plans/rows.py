@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 64
 #: Markup nests as deep as it likes; kernels that recurse over it need room.
 _DEPTH = 100_000
+#: Rows to a task of tables whose rows are few bytes and much work, and the most tasks that such a table is dealt out to.
+TASK_ROWS = 4_000
+MOST_TASKS = 10_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table dealt out by its number of rows. A scan cuts tables by bytes, which leaves one task to a small file
+    however much is made of each of its rows. Rows are counted first (for Parquet, from the footers)."""
+    tasks = min(math.ceil(df.count() / TASK_ROWS), MOST_TASKS)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def map_rows(df: DataFrame, kernel: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:

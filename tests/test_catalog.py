@@ -49,3 +49,37 @@ def test_long_sections_equal_sql(spark, tmp_path):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(want.fetchall(), want.columns)
     flagged = catalog.QUERIES["book_sections"](spark, str(tmp_path)).where("warning = 'long'").collect()
     assert [(r["book_id"], r["pos"]) for r in flagged] == [("book-1.epub", 1)]
+
+
+def test_sections_of_a_page_parsed_once(spark, tmp_path, monkeypatch):
+    """All sections of a page come from one parse, and equal those asked for one by one."""
+    from pyspark.sql import functions as F
+
+    from foliant.operators import pages
+
+    html = '<body><h1 id="a">One 🦀</h1><p>Words.</p><h1 id="b">Two</h1><pre>x\ty</pre><h1 id="c">Three</h1></body>'
+    asked = [(None, None), (None, "b"), ("a", "b"), ("b", None), ("gone", "b"), (None, "gone")]
+    rows = spark.createDataFrame([(1, html, asked), (2, None, asked[:1]), (3, html, [])], "id long, html string, asked array<struct<fragment:string,following:string>>")
+    kernels = []
+    with monkeypatch.context() as m:
+        m.setattr(pages, "map_rows", lambda df, kernel, schema: kernels.append(kernel) or df)
+        pages.page_sections(rows, "id", "html", "asked")
+    parsed = []
+    monkeypatch.setattr(pages, "Page", lambda source, page=pages.Page: parsed.append(source) or page(source))
+    assert len(list(kernels[0](1, html, [{"fragment": f, "following": n} for f, n in asked]))) == 6 and len(parsed) == 1
+    monkeypatch.undo()
+    found = pages.page_sections(rows, "id", "html", "asked")
+    single = pages.extracted_sections(rows.withColumn("one", F.explode("asked")).select("id", "html", "one.*"), "id", "html", "fragment", "following")
+    columns = ["id", "text", "preserved", "elements", "start_node_id", "end_node_id", "error"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, single.select(columns).collect())) and found.count() == 7
+
+
+def test_small_files_of_much_work_are_spread(spark, sf_dir, tmp_path):
+    """Sheets are dealt out by rows; a scan leaves one task to a file of a few bytes a row, however many rows it has."""
+    from pyspark.sql import functions as F
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    (parts.join(spark.range(100).withColumnRenamed("id", "i")).withColumn("p_partkey", F.col("p_partkey") + 1_000 * F.col("i")).drop("i").coalesce(1).write.parquet(f"{tmp_path}/part.parquet"))
+    rows = catalog_sheets.sheets(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 5 and rows.count() == 20_000
+    assert catalog_sheets.sheets(spark, sf_dir).rdd.getNumPartitions() == 1
