@@ -235,9 +235,7 @@ def sheet_ranges(spark, sf_dir):
 )
 def sheet_fragments(spark, sf_dir):
     """Elements by fragment: an id, else a name; of a fragment that isn't there no row."""
-    nodes = pages.page_nodes(sheets(spark, sf_dir), "p_partkey")
-    found = [pages.fragment_node(nodes, F.lit(x), "p_partkey").select("p_partkey", F.lit(x).alias("fragment"), "node_id") for x in ("top", "more", "last", "gone")]
-    return found[0].union(found[1]).union(found[2]).union(found[3])
+    return pages.fragment_nodes(sheets(spark, sf_dir), ["top", "more", "last", "gone"], "p_partkey")
 
 
 _VISIBLE = f"regexp_replace({_markup(SHEET)}, '<script>.*?</script>', '', 'g')"

@@ -58,6 +58,19 @@ def fragment_node(nodes: DataFrame, fragment: Column, id_col: str = "page_id") -
     return nodes.where(rank.isNotNull()).groupBy(id_col).agg(best["node_id"].alias("node_id"))
 
 
+def fragment_nodes(pages: DataFrame, fragments: list[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, fragment, node_id: ``fragment_node`` of several fragments, in the parser's pass: no exchange."""
+
+    def kernel(page_id, html):
+        doc = parse(units(html or "")).without(UNSEEN)
+        for name in fragments:
+            node = doc.by_fragment(units(name))
+            if node is not None:
+                yield page_id, name, node.index
+
+    return map_rows(pages.select(id_col, html_col), kernel, f"{_typed(pages, id_col)}, fragment string, node_id int")
+
+
 def element_texts(pages: DataFrame, *tags: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, node_id, tag, attrs, content of the elements with these tags, in the parser's pass: no exchange."""
 

@@ -83,3 +83,20 @@ def test_small_files_of_much_work_are_spread(spark, sf_dir, tmp_path):
     rows = catalog_sheets.sheets(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() == 5 and rows.count() == 20_000
     assert catalog_sheets.sheets(spark, sf_dir).rdd.getNumPartitions() == 1
+
+
+def test_fragments_found_without_an_exchange(spark, sf_dir):
+    """Several fragments in one parse: what ``fragment_node`` finds one by one, ids before names, and no exchange."""
+    from pyspark.sql import functions as F
+
+    from foliant.operators import pages
+
+    rows = spark.createDataFrame([(1, '<p name="a">x</p><p id="a">y</p><b name="c"></b><b name="c"></b>'), (2, None), (3, '<script id="a"></script><i id="z"></i>')], "page_id long, html string")
+    found = pages.fragment_nodes(rows, ["a", "c", "z", "gone"])
+    nodes = pages.page_nodes(rows)
+    single = [(r["page_id"], x, r["node_id"]) for x in ("a", "c", "z", "gone") for r in pages.fragment_node(nodes, F.lit(x)).collect()]
+    assert sorted(map(tuple, found.collect())) == sorted(single) and len(single) == 3
+    astral = rows.where("page_id = 2").withColumn("html", F.lit('<i id="z🦀"></i>'))
+    assert pages.fragment_nodes(astral, ["z🦀"]).count() == 1
+    plan = catalog.QUERIES["sheet_fragments"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan
