@@ -100,3 +100,13 @@ def test_fragments_found_without_an_exchange(spark, sf_dir):
     assert pages.fragment_nodes(astral, ["z🦀"]).count() == 1
     plan = catalog.QUERIES["sheet_fragments"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("name", ["sheet_blocks", "sheet_fragments", "sheet_sections", "sheet_marks", "sheet_ranges"])
+def test_sheet_queries_spread_and_parse_once(spark, sf_dir, tmp_path, name):
+    from pyspark.sql import functions as F
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").join(spark.range(100).withColumnRenamed("id", "i"))
+    parts.withColumn("p_partkey", F.col("p_partkey") + 1_000 * F.col("i")).drop("i").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning(5)") == 1 and plan.count("MapInArrow") == 1
