@@ -116,7 +116,7 @@ def annotated_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
     def kernel(page_id, html):
         source = units(html or "")
-        words, stored, fallback = annotated(Page(source), None, None, lambda: page_text(html or ""))
+        words, stored, fallback = annotated(Page.passing(source), None, None, lambda: page_text(html or ""))
         yield page_id, from_units(words), stored, fallback
 
     return map_rows(pages.select(id_col, html_col), kernel, f"{_typed(pages, id_col)}, text string, structured_json string, fallback boolean")
