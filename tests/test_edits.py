@@ -73,3 +73,21 @@ def test_ranges_of_elements(spark):
     assert row.none == [] and tuple(row.one) == (1, 2)
     with pytest.raises(Exception, match="exactly one range"):
         df.select(edits.single_range_of(F.col("e"), F.lit(9))).collect()
+
+
+def test_moves_only():
+    """Edits that don't tell words apart that stay: as few as there are empty lines, and every offset moved the same."""
+    for text, kept in [
+        ("One word here\n\n\n\nand more.\n\n\ncode\tx\n\n\n\nLast words\n\n\n", [(31, 37)]),
+        ("a b\n\n\n c d", []),
+        ("\n\n\n", []),
+        ("a\tb\n\n\n\nC", []),
+        ("low\nlow\n\n\n\nC", []),
+        ("x\n\n\ny", [(1, 4)]),
+    ]:
+        (one, words), (other, moves) = clean_around(text, kept), clean_around(text, kept, moves_only=True)
+        assert one == other
+        for i in range(len(text) + 1):
+            assert (words.map_start(i), words.map_end(i)) == (moves.map_start(i), moves.map_end(i))
+    text = "many words on a line\n\n\nand on another"
+    assert len(clean_around(text, [], moves_only=True)[1].edits) == 3 < len(clean_around(text, [])[1].edits)
