@@ -141,3 +141,19 @@ def test_offsets_count_utf16_units():
     text = units("\U0001F980 padding so that the text is longer than fifty characters.")
     got = section_blocks(Page(units("<p>\U0001F980 padding so that the text is longer than fifty <b>characters</b>.</p>")).extract().cleaned())
     assert got[0]["end"] == len(text) and got[0]["marks"][0]["end"] == len(text) - 1
+
+
+def test_plain_blocks_are_not_walked_for_marks(monkeypatch):
+    """Marks are looked for where elements are; the result is that of a walk through every block."""
+    from foliant.functions import annotations
+
+    html = (
+        "<h1>Title of the page</h1><p>Plain words that go on for long enough to be annotated.</p><p>With <b>bold <i>and</i> more</b> and <code>code</code>.</p>"
+        "<ul><li>Plain item</li><li>Item <em>told</em> twice<ul><li>Inner</li></ul> after <b>it</b></li></ul><dl><dt>Term</dt><dd>Meaning</dd></dl><p></p>"
+    )
+    walked, walk = [], annotations.Annotator.marks
+    monkeypatch.setattr(annotations.Annotator, "marks", lambda self, node, *more: walked.append(node.tag) or walk(self, node, *more))
+    got, few = section(html)[1], len(walked)
+    monkeypatch.setattr(annotations, "_plain", lambda node: False)
+    assert section(html)[1] == got and few < len(walked) - few
+    assert [m["type"] for b in got for m in b["marks"]] == ["emphasis", "emphasis", "monospace", "emphasis", "emphasis"]
