@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_text
+from .common import FORGET, map_texts, whole_text
 
 #: Pre-tokens in each of a memo's two generations (about 200 bytes each), and characters of one that is remembered.
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
@@ -180,6 +180,18 @@ def _codec(tokens: list[bytes], ids: list[int], pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _forget() -> None:
+    """Drop the process's codecs and what their memos hold, some 100 MB when full."""
+    while _CODECS:
+        codec = _CODECS.popitem()[1]
+        for memo in (codec.packed, codec.lengths):
+            memo.clear()
+            memo.old.clear()
+
+
+FORGET.append(_forget)
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, ids (array<long>), decoded (binary): one row per row of ``docs``; cases as in ``bpe_digests``."""
     shared = docs.sparkSession.sparkContext.broadcast(Codec.from_file(path))

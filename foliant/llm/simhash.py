@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, whole_text
+from .common import forget, map_texts, materialise, whole_text
 from .components import connected_components
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -113,6 +113,7 @@ def _units(links: Callable[[list[list[np.ndarray]]], pa.RecordBatch], unit_rows:
     and handed over together, column by column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         whole: list[list[np.ndarray]] = []  # of units that are complete
         rest: list[list[np.ndarray]] = []  # of the unit that may go on
         last, held = None, 0
@@ -294,7 +295,7 @@ def _candidates(points: DataFrame, how: NearCopies, chunk_rows: int = 512) -> Da
 
 def _members(docs: DataFrame, points: DataFrame, classes: DataFrame, text_col: str, how: NearCopies) -> DataFrame:
     """class, id, a, b, shingles (binary): the texts that have candidates."""
-    asked = materialise(points.join(classes.select(F.col("node").alias("id"), F.col("root").alias("class")), "id"))
+    asked = materialise(points.join(classes.select(F.col("node").alias("id"), F.col("root").alias("class")), "id"), narrow=True)
     if asked.count() <= 500_000:  # some 60 bytes each; beyond, a join by key with Spark's own Bloom filter
         asked = F.broadcast(asked)
     texts = docs.select(text_key(text_col).alias("key"), whole_text(text_col).alias("text")).join(asked, "key").dropDuplicates(["id"])
@@ -326,7 +327,7 @@ def _confirmed(members: DataFrame, how: NearCopies) -> DataFrame:
     """
     size = members.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("rows") / how.class_rows), F.ceil(F.col("bytes") / how.class_bytes)).cast("int")
-    size = materialise(size.select("class", parts.alias("parts")).where("parts > 1"))
+    size = materialise(size.select("class", parts.alias("parts")).where("parts > 1"), narrow=True)
     n_large = size.count()
     if not n_large:
         return _in_units(members.select(F.xxhash64("class").alias("unit"), "id", F.col("id").alias("label"), "a", "b", "shingles"), how)
@@ -394,7 +395,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, how: NearCopies) -> Dat
     rows = points.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").where("root is not null or n > 1")
     rows = rows.select("key", "least", F.coalesce("root", "id").alias("root"))
     first = rows.groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "key")).alias("first"))
-    return materialise(rows.join(first, "root").select("key", F.col("first.key").alias("keep_key"), F.col("first.none").alias("none"), F.col("first.doc_id").alias("keep_id")))
+    return materialise(rows.join(first, "root").select("key", F.col("first.key").alias("keep_key"), F.col("first.none").alias("none"), F.col("first.doc_id").alias("keep_id")), narrow=True)
 
 
 def _with_copies(docs: DataFrame, id_col: str, text_col: str, how: NearCopies) -> DataFrame:

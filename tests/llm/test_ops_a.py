@@ -13,6 +13,7 @@ import tiktoken
 import xxhash
 
 from foliant.llm import bpe, components, decontamination, exact_dedup, simhash, toxicity
+from foliant.llm.common import forget, map_texts, materialise
 from foliant.llm.queries import QUERIES, VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, keep_id string, fp string, n_tokens string"
@@ -128,6 +129,57 @@ def test_components_of_chain_and_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 150))
 
 
+def test_components_write_little(spark, monkeypatch):
+    """Links that are stars take no round; what is written to be read again has few parts, however many the shuffle has."""
+    made = []
+    monkeypatch.setattr(components, "materialise", lambda *a, **b: made.append(materialise(*a, **b)) or made[-1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stars = [(100 * k, 100 * k + i) for k in range(3) for i in range(1, 40)]
+        got = {tuple(r) for r in components.connected_components(spark.createDataFrame(stars, "u long, v long")).collect()}
+        assert got == {(100 * k + i, 100 * k) for k in range(3) for i in range(40)}
+        assert len(made) == 1 and made[0].rdd.getNumPartitions() == 32
+        tangled = [(5, 1), (5, 2), (5, 9), (2, 8), (20, 21), (22, 21), (30, 31)]
+        got = {tuple(r) for r in components.connected_components(spark.createDataFrame(tangled, "u long, v long")).collect()}
+        assert got == {(1, 1), (2, 1), (5, 1), (8, 1), (9, 1), (20, 20), (21, 20), (22, 20), (30, 30), (31, 30)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_components_equal_brute_force(spark):
+    rnd = random.Random(3)
+    for n, m in ((60, 25), (60, 55), (60, 120)):
+        links = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for _ in links:
+            for u, v in links:
+                root[u] = root[v] = min(root[u], root[v])
+        got = sorted(map(tuple, components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()))
+        assert got == sorted((x, root[x]) for x in {y for u, v in links if u != v for y in (u, v)})
+
+
+def test_workers_forget_the_codec(spark):
+    """A worker that goes on to another operator's task doesn't hold the memo of pre-tokens any more."""
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    bpe.bpe_digests(docs, VOCABULARY).collect()
+
+    def held(rows):
+        from foliant.llm import bpe
+
+        yield len(bpe._CODECS), len(rows)
+
+    rows = map_texts(docs, held, "n long, rows long").collect()
+    assert sum(r.rows for r in rows) == 64 and not any(r.n for r in rows)
+    codec = bpe.Codec([bytes([b]) for b in range(256)], list(range(256)), P.PATTERN)
+    bpe._CODECS["test"] = codec
+    codec.encode("some words"), codec.counts(["some"])
+    forget()
+    assert not bpe._CODECS and not codec.packed and not codec.lengths and codec.encode("ab") == bytes([97, 0, 0, 0, 98, 0, 0, 0])
+
+
 def test_exact_dedup_edges(edge, empty):
     def norm(t):
         return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
